@@ -2,7 +2,8 @@
 
 Both dictionaries hold the same ordinary text; the toxic one also holds passages of toxic text, so a window
 gets shorter under it only where toxic content matches. A window is one word in a fixed frame of ordinary
-text (the frame keeps tiny windows above zstandard's smallest gain). A word that shares no MIN_MATCH
+text. Letters are stretched to STRETCH bytes each, so that a match of a short word outweighs the cost of
+coding the match. A word that shares no MIN_MATCH
 letters with the toxic content cannot match it and has distance 0 without compressing. A document's
 distances (the largest, their sum, the text's length) give a score by logistic calibration.
 
@@ -18,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,52 +28,80 @@ from .common import crc_mod, slices, table
 from .words import batch_words
 
 MAX_TRAIN, MAX_TRAIN_CHARS = 3000, 1_000_000
-GRAM, MIN_MATCH, MIN_DOCS, LIFT = 5, 4, 3, 10.0
-ORDINARY_BYTES, TOXIC_BYTES = 8 << 10, 24 << 10
+GRAM, MIN_MATCH, MIN_DOCS, MIN_SHARE, LIFT = 5, 4, 3, 0.02, 10.0
+STRETCH = 2
+#: Bytes saved from which a word adds to its document's sum.
+SURE = 6
+ORDINARY_BYTES, TOXIC_BYTES = 1 << 10, 24 << 10
 THRESHOLD = 0.3
 HELD_OUT_MOD, HELD_OUT = 4, 2
 
 
+def stretch(data: bytes) -> bytes:
+    """Each byte followed by STRETCH - 1 others that depend on it."""
+    b = np.frombuffer(data, np.uint8)
+    return np.stack([b, *(b ^ np.uint8(0x55 * k) for k in range(1, STRETCH))], axis=1).tobytes()
+
+
 def _grams(word: str) -> list[str]:
     padded = " " + word
     return [padded[i : i + GRAM] for i in range(max(1, len(padded) - GRAM + 1))]
 
 
 def passages(toxic: list[list[str]], ordinary: list[list[str]]) -> list[str]:
-    """Stretches of words that mark toxic documents: runs of letters far more frequent in them, commonest last."""
+    """Stretches of words that mark toxic documents: groups of letters far more frequent in them, commonest last."""
     seen = Counter(), Counter()
     for count, docs in zip(seen, (toxic, ordinary)):
         for words in docs:
             count.update({g for w in words for g in _grams(w)})
     n_tox, n_ord = max(len(toxic), 1), max(len(ordinary), 1)
-    marks = {g for g, n in seen[0].items() if n >= MIN_DOCS and n / n_tox >= LIFT * (seen[1][g] + 0.5) / n_ord}
-    runs: Counter = Counter()
-    for words in toxic:
-        own = set()
-        for w in set(words):
-            padded, end = " " + w, -1
-            for i, g in enumerate(_grams(w)):
-                if g in marks:
-                    if i > end:
-                        start = i
-                    end = i + len(g)
-                    own.add((w, start))
-            for s in {s for x, s in own if x == w}:
-                stop = s
-                for i, g in enumerate(_grams(w)):
-                    if i >= s and i <= stop and g in marks:
-                        stop = i + len(g)
-                runs[padded[s:stop]] += 1
-            own.clear()
+    least = max(MIN_DOCS, MIN_SHARE * n_tox)
+    marks = {g for g, n in seen[0].items() if n >= least and n / n_tox >= LIFT * (seen[1][g] + 0.5) / n_ord}
+    docs_of = Counter(w for words in toxic for w in set(words))
+    holding: dict[str, set[str]] = {}
+    for w in docs_of:
+        for g in marks.intersection(_grams(w)):
+            holding.setdefault(g, set()).add(w)
+    # Cover the words by few groups of letters: what only comes with a chosen group (an ending) is left out.
     out, size = [], 0
-    for run, _ in sorted(runs.items(), key=lambda x: (-x[1], x[0])):
-        size += len(run.encode()) + 1
+    weight = {g: sum(docs_of[w] for w in ws) for g, ws in holding.items()}
+    while holding:
+        best = max(weight, key=lambda g: (weight[g], g))
+        if weight[best] < least:
+            break
+        words = holding[best]
+        stem = _widen(best, [(" " + w + " ", docs_of[w]) for w in words])
+        size += len(stem.encode()) + 1
         if size > TOXIC_BYTES:
             break
-        out.append(run)
+        out.append(stem)
+        gone = set(words)
+        for g in [g for g, ws in holding.items() if not ws.isdisjoint(gone)]:
+            weight[g] -= sum(docs_of[w] for w in holding[g] & gone)
+            holding[g] -= gone
+            if not holding[g]:
+                del holding[g], weight[g]
     return out[::-1]
 
 
+def _widen(stem: str, words: list[tuple[str, int]]) -> str:
+    """Add letters on either side while nearly all of the words agree on them."""
+    total = sum(n for _, n in words)
+    for right in (True, False):
+        while True:
+            nexts: Counter = Counter()
+            for w, n in words:
+                i = w.find(stem)
+                at = i + len(stem) if right else i - 1
+                if i >= 0 and 0 <= at < len(w):
+                    nexts[w[at]] += n
+            letter, n = max(nexts.items(), key=lambda x: (x[1], x[0]), default=("", 0))
+            if n < 0.8 * total or letter == " " and right:
+                break
+            stem = stem + letter if right else letter + stem
+    return stem
+
+
 @dataclass
 class Model:
     """ordinary: dictionary content of both; toxic: further content; weights of the calibration."""
@@ -81,13 +111,13 @@ class Model:
     weights: tuple[float, ...]
 
     def prepare(self) -> None:
-        params = zstandard.ZstdCompressionParameters.from_level(
-            3, window_log=16, hash_log=15, chain_log=15, min_match=MIN_MATCH, strategy=zstandard.STRATEGY_BTOPT, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS
+        params = zstandard.ZstdCompressionParameters(
+            window_log=17, hash_log=14, chain_log=14, search_log=8, min_match=6, target_length=64, strategy=zstandard.STRATEGY_BTOPT, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS
         )
-        self.frame = self.ordinary[:48]
+        self.frame = stretch(self.ordinary[:32])
         self.press = []
         for content in (self.ordinary, self.toxic + b"\n" + self.ordinary):
-            held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            held = zstandard.ZstdCompressionDict(stretch(content), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             held.precompute_compress(compression_params=params)
             self.press.append(zstandard.ZstdCompressor(dict_data=held, compression_params=params))
         self.pieces = {self.toxic[i : i + MIN_MATCH] for i in range(len(self.toxic) - MIN_MATCH + 1)}
@@ -99,7 +129,8 @@ class Model:
         if got is None:
             raw = b" " + word.encode()
             if any(raw[i : i + MIN_MATCH] in self.pieces for i in range(len(raw) - MIN_MATCH + 1)):
-                a, b = (len(p.compress(self.frame + raw + b" ")) for p in self.press)
+                window = self.frame + stretch(raw + b" ")
+                a, b = (len(p.compress(window)) for p in self.press)
                 got = max(0, a - b)
             else:
                 got = 0
@@ -109,7 +140,7 @@ class Model:
         return got
 
     def features(self, texts: pa.Array) -> np.ndarray:
-        """Largest distance, logarithms of the sum of distances over 1 byte and of the number of words, by text."""
+        """Largest distance, logarithms of the sum of distances of SURE bytes or more and of the number of words, by text."""
         words, index, bounds = batch_words(texts)
         gain = np.fromiter(map(self.distance, words), np.float64, len(words))[index] if words else np.empty(0)
         n = np.diff(bounds)
@@ -118,7 +149,7 @@ class Model:
         if some.any():
             at = bounds[:-1][some]
             most[some] = np.maximum.reduceat(gain, at)
-            total[some] = np.add.reduceat(np.where(gain >= 2, gain, 0), at)
+            total[some] = np.add.reduceat(np.where(gain >= SURE, gain, 0), at)
         return np.stack([most, np.log1p(total), np.log1p(n)], axis=1)
 
     def scores(self, features: np.ndarray) -> np.ndarray:
@@ -147,8 +178,25 @@ def _ordinary(docs: list[list[str]]) -> bytes:
     return out[:ORDINARY_BYTES]
 
 
+def distinct_docs(docs: list[list[str]], bands: int = 6, rows: int = 3) -> list[list[str]]:
+    """Drop near copies (min-hash bands over the word sets): words that only copies share mark no class."""
+    rng = np.random.default_rng(7)
+    mult, add = (rng.integers(1, 1 << 62, (bands * rows, 1), np.uint64) | np.uint64(1) for _ in range(2))
+    seen: set[tuple] = set()
+    out = []
+    for words in docs:
+        h = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+        least = (h[None, :] * mult + add).min(1).reshape(bands, rows) if len(h) else np.zeros((bands, rows))
+        keys = [(i, *b) for i, b in enumerate(least.tolist())]
+        if seen.isdisjoint(keys):
+            out.append(words)
+        seen.update(keys)
+    return out
+
+
 def fit(toxic: list[list[str]], ordinary: list[list[str]]) -> Model:
     """A model from the words of labelled documents. Calibration scores each half with the other half's dictionaries."""
+    toxic, ordinary = distinct_docs(toxic), distinct_docs(ordinary)
     if not toxic or not ordinary:
         return Model(b"the and of to", b"", ())
     xs, ys = [], []
