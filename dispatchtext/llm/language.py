@@ -98,6 +98,18 @@ class Model:
             yield self.table[rows[a:b]], self.letters[rows[a:b]]
 
 
+    def label(self, score: np.ndarray, letters: np.ndarray, switch: float = SWITCH) -> tuple[str, float, np.ndarray]:
+        """(language, score from 0 to 1, language index of each word); no path for `und`."""
+        if not self.langs or not letters.sum():
+            return "und", 0.0, np.empty(0, np.int64)
+        path = viterbi(score, switch)
+        mass = np.bincount(path, weights=letters, minlength=len(self.langs))
+        best = int(np.argmax(mass))
+        total = score[path == best].sum(0, dtype=np.float64)  # how clear the winner is on its own words
+        gap = total[best] - np.delete(total, best).max() if len(total) > 1 else 40.0
+        return self.langs[best], float(mass[best] / mass.sum() / (1 + np.exp(-np.clip(gap, -40, 40)))), path
+
+
 def viterbi(score: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """Best language of each word; a change of language costs `switch`. Ties go to the first language.
 
@@ -177,17 +189,9 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
         for part in slices(batches, "text", 8 << 20):
             langs, scores, spans = [], [], []
             for score, letters in model.word_scores(part.column("text")):
-                if not model.langs or not letters.sum():
-                    langs.append("und"), scores.append(0.0), spans.append("")
-                    continue
-                path = viterbi(score, switch)
-                mass = np.bincount(path, weights=letters, minlength=len(model.langs))
-                best = int(np.argmax(mass))
-                total = score.sum(0, dtype=np.float64)
-                gap = total[best] - np.delete(total, best).max() if len(total) > 1 else 40.0
-                langs.append(model.langs[best])
-                scores.append(float(mass[best] / mass.sum() / (1 + np.exp(-np.clip(gap, -40, 40)))))
-                cut = np.concatenate(([0], np.flatnonzero(np.diff(path)) + 1, [len(path)]))
+                lang, value, path = model.label(score, letters, switch)
+                langs.append(lang), scores.append(value)
+                cut = np.concatenate(([0], np.flatnonzero(np.diff(path)) + 1, [len(path)])) if len(path) else [0]
                 spans.append(" ".join(f"{model.langs[path[a]]}:{b - a}" for a, b in zip(cut[:-1], cut[1:])))
             yield pa.record_batch([part.column("doc_id"), part.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, pa.string())], names=["doc_id", "held_out", "lang_pred", "score", "spans"])
 
@@ -195,6 +199,17 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, spans string")
 
 
+def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of docs (all columns) whose text is in a learned language with at least this score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model.prepare()
+        for part in slices(batches, "text", 8 << 20):
+            yield part.filter(pa.array([model.label(s, n)[1] >= least for s, n in model.word_scores(part.column("text"))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return predict(docs, train(docs))

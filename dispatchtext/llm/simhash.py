@@ -191,19 +191,42 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, max_bucket: int = MAX
     component; a null doc_id stays null and never names a component (a component of such rows only has a
     null component_id). An empty table gives an empty result. Other columns of docs are not read.
     """
-    fps = materialize(fingerprints(docs), "simhash-fps")
-    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    linked = components(close_links(distinct, radius, max_bucket))  # node, component: linked fingerprints only
-    joined = materialize(
-        distinct.join(linked, distinct.fp == linked.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("comp")),
-        "simhash-components",
-    )
-    firsts = joined.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    by_fp = joined.join(firsts, "comp").select("fp", "component_id")
+    fps, groups = _groups(docs, radius, max_bucket)
+    firsts = groups.groupBy("comp").agg(F.min("first_id").alias("component_id"))
+    by_fp = groups.join(firsts, "comp").select("fp", "component_id")
     return fps.join(by_fp, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+def _groups(docs: DataFrame, radius: int, max_bucket: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) by row, and (fp, first_id, comp) by distinct fingerprint; comp is the least fp of a component."""
+    fps = materialize(fingerprints(docs), "simhash-fps")
+    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
+    linked = components(close_links(distinct, radius, max_bucket))  # node, component: linked fingerprints only
+    groups = distinct.join(linked, distinct.fp == linked.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("comp"))
+    return fps, materialize(groups, "simhash-components")
+
+
+def deduplicate(docs: DataFrame, radius: int = RADIUS, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """The rows of docs (all columns) that stay: of each component the one with the smallest doc_id.
+
+    A null doc_id loses against any other; of rows equal in doc_id and fingerprint one stays.
+    """
+    _, groups = _groups(docs, radius, max_bucket)
+    best = groups.groupBy("comp").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "fp")).alias("best"))
+    winners = best.select(F.col("best.first_id").alias("_id"), F.col("best.fp").alias("_won"))
+    schema = docs.schema.add("_fp", "long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            fps = np.array([fingerprint(t) for t in part.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.record_batch([*part.columns, pa.array(fps, pa.int64())], names=[*part.schema.names, "_fp"])
+
+    marked = docs.mapInArrow(run, schema)
+    kept = marked.join(winners, marked["doc_id"].eqNullSafe(winners["_id"]) & (marked["_fp"] == winners["_won"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_fp"]).drop("_fp")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
