@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, slices, table
 from .words import batch_words
 
-MAX_TRAIN, MAX_TRAIN_CHARS, MAX_LANGS = 1000, 1_000_000, 200
+MAX_TRAIN, MAX_TRAIN_CHARS, MAX_LANGS = 1000, 200_000, 200
 GRAM, MIN_COUNT = 3, 2
 SWITCH = 12.0
 CLIP = 8.0
@@ -170,9 +170,11 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     )
     found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()  # the commonest MAX_LANGS codes
     samples = []
+    keyed = rows.withColumn("h", F.xxhash64("doc_id", "text"))
     for r in found:
-        kept = rows.filter(F.col("lang") == r["lang"]).orderBy(F.xxhash64("doc_id"), "text").limit(max_train)
-        samples += [(r["lang"], x["text"]) for x in kept.select("text").collect()]
+        own = keyed.filter(F.col("lang") == r["lang"])
+        cut = own.select("h").orderBy("h").limit(max_train).agg(F.max("h").alias("h")).first()["h"]
+        samples += sorted((r["lang"], x["text"]) for x in own.filter(F.col("h") <= cut).limit(max_train).select("text").collect())
     return fit(samples)
 
 
