@@ -91,6 +91,9 @@ class Model:
 
     def word_scores(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(scores by word and language, letters by word) of each text."""
+        if not self.langs:  # nothing was learned
+            yield from [(np.zeros((0, 0)), np.zeros(0))] * len(texts)
+            return
         words, index, bounds = batch_words(texts)
         self._learn(words)
         rows = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))[index] if words else np.empty(0, np.int64)

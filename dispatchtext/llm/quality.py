@@ -106,10 +106,10 @@ def fit(patterns: list[str], counts: list[int], rounds: int = 200, tolerance: fl
     Rules of this kind seldom name a sound text bad, while a poor text mostly has one fault and passes the
     other rules. So EM starts from "any bad vote is suspect", and a light prior says the same of each rule.
     """
+    if not patterns:
+        return {}
     votes = np.array([["-0+".index(c) for c in p] for p in patterns], np.int64).reshape(len(patterns), -1)
     n = np.array(counts, float)
-    if not len(n):
-        return {}
     post = np.where((votes == 0).any(1), 0.1, 0.9)
     one_hot = np.eye(3)[votes]  # pattern, rule, vote
     prior = {1: np.array([0.005, 0.045, 0.95]), 0: np.array([0.2, 0.1, 0.7])}

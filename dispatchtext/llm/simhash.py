@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, slices, table
 from .components import components
@@ -216,7 +217,7 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS, max_bucket: int = MAX_BUC
     _, groups = _groups(docs, radius, max_bucket)
     best = groups.groupBy("comp").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "fp")).alias("best"))
     winners = best.select(F.col("best.first_id").alias("_id"), F.col("best.fp").alias("_won"))
-    schema = docs.schema.add("_fp", "long")
+    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
