@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import phones, resolve, spans
 from ..functions import text as tx
@@ -111,4 +112,4 @@ def score_tokens(rows: DataFrame, load: Callable[[], Callable[[list[str]], list[
             scored = iter(held[0](texts) if texts else [])
             yield pdf.assign(tokens=[next(scored) if t else [] for t in pdf["masked"]])
 
-    return rows.mapInPandas(run, rows.schema.add("tokens", f"array<{spans.TOKEN}>"))
+    return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField("tokens", T.ArrayType(T.StructType.fromDDL(spans.TOKEN[7:-1])))]))
