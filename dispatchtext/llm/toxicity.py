@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, slices, table
 from .words import batch_words
 
-MAX_TRAIN, MAX_TRAIN_CHARS = 3000, 1_000_000
+MAX_TRAIN, MAX_TRAIN_CHARS = 2500, 200_000
 GRAM, MIN_MATCH, MIN_DOCS, MIN_SHARE, LIFT = 5, 4, 3, 0.02, 10.0
 STRETCH = 2
 #: Bytes saved from which a word adds to its document's sum.
@@ -211,14 +211,14 @@ def fit(toxic: list[list[str]], ordinary: list[list[str]]) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """Fit on labelled documents whose crc32(doc_id as text) mod 4 is not 2, at most max_train per class."""
-    marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter((crc_mod("doc_id", HELD_OUT_MOD) != HELD_OUT) & F.col("toxic").isin(0, 1))
+    marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter((crc_mod("doc_id", HELD_OUT_MOD) != HELD_OUT) & F.col("toxic").isin(0, 1)).distinct()
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.length("text") <= MAX_TRAIN_CHARS)
-    rows = texts.join(marked, "doc_id")
     words = F.array_distinct(F.split(F.lower("text"), r"\s+")).alias("words")
     parts = []
     for label in (1, 0):
-        kept = rows.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "text").limit(max_train)
-        parts.append([[w for w in r["words"] if w] for r in kept.select(words).collect()])
+        kept = marked.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).select("doc_id")
+        rows = texts.join(F.broadcast(kept), "doc_id").limit(max_train)  # at most max_train keys
+        parts.append([[w for w in r["words"] if w] for r in sorted(rows.select("doc_id", words).collect(), key=lambda r: (r["doc_id"], r["words"]))])
     return fit(*parts)
 
 
