@@ -23,6 +23,17 @@ CHUNK, LANES = 1024, 4096
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 
 
+#: A byte's sample: bytes in this order, then all others by value, take the samples 0, -1, 1, -2, 2, ...
+#: Frequent bytes of text thus have small samples, which Rice codes store in few bits.
+_FREQUENT = b" etaoinrshdlu\xffcmbgw.,\xc3fpvyqTI!\nE" + bytes((0xA9, 0xB3, 0xBC, 0xA8, 0xB1, 0xB6, 0xA4, 0xA7, 0xAA, 0x9F))
+_ORDER = np.array([*_FREQUENT, *sorted(set(range(256)) - set(_FREQUENT))], np.int16)
+_RANKS = np.arange(256, dtype=np.int16)
+TO_SAMPLE = np.empty(256, np.int16)
+TO_SAMPLE[_ORDER] = (_RANKS >> 1) ^ -(_RANKS & 1)
+FROM_SAMPLE = np.empty(256, np.uint8)  # index: sample + 128
+FROM_SAMPLE[TO_SAMPLE + 128] = np.arange(256)
+
+
 @cache
 def _crc_table(poly: int, bits: int) -> np.ndarray:
     out, top, full = [], 1 << (bits - 1), (1 << bits) - 1
@@ -141,13 +152,13 @@ def encode_frames(x: np.ndarray, numbers: np.ndarray) -> list[bytes]:
 
 
 def encode(payloads: list[bytes]) -> list[bytes]:
-    """A FLAC stream of each payload; sizes are positive multiples of BLOCK. A byte b is the sample b - 128."""
+    """A FLAC stream of each payload; sizes are positive multiples of BLOCK. Bytes become samples by TO_SAMPLE."""
     frames: list[list[bytes]] = [[] for _ in payloads]
     owners = np.repeat(np.arange(len(payloads)), [len(p) // BLOCK for p in payloads])
     numbers = np.concatenate([np.arange(len(p) // BLOCK) for p in payloads]) if payloads else np.empty(0, np.int64)
     flat = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, BLOCK)
     for i in range(0, len(flat), CHUNK):
-        made = encode_frames(flat[i : i + CHUNK].astype(np.int16) - 128, numbers[i : i + CHUNK])
+        made = encode_frames(TO_SAMPLE[flat[i : i + CHUNK]], numbers[i : i + CHUNK])
         for owner, frame in zip(owners[i : i + CHUNK].tolist(), made):
             frames[owner].append(frame)
     return [_stream(p, f) for p, f in zip(payloads, frames)]
@@ -155,7 +166,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
 
 def _stream(payload: bytes, frames: list[bytes]) -> bytes:
     sizes = np.fromiter(map(len, frames), np.int64, len(frames))
-    signed = (np.frombuffer(payload, np.uint8) ^ 128).tobytes()
+    signed = TO_SAMPLE[np.frombuffer(payload, np.uint8)].astype(np.int8).tobytes()
     info = struct.pack(">HH", BLOCK, BLOCK) + int(sizes.min()).to_bytes(3, "big") + int(sizes.max()).to_bytes(3, "big")
     info += (RATE << 44 | 0 << 41 | 7 << 36 | len(payload)).to_bytes(8, "big") + hashlib.md5(signed).digest()
     points = np.zeros(len(frames), np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]))
@@ -307,6 +318,10 @@ def decode_frames(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return x
 
 
+def _bytes(samples: np.ndarray) -> np.ndarray:
+    return FROM_SAMPLE[samples.astype(np.int16) + 128]
+
+
 def decode(streams: list[bytes]) -> list[bytes]:
     """The payloads of streams, checked against frame checksums and the stream's MD5."""
     heads = [parse(s) for s in streams]
@@ -314,18 +329,18 @@ def decode(streams: list[bytes]) -> list[bytes]:
     flat = np.frombuffer(b"".join(streams), np.uint8)
     starts = np.concatenate([h[2] + b for h, b in zip(heads, bases)]) if heads else np.empty(0, np.int64)
     ends = np.concatenate([np.append(h[2][1:], h[3]) + b for h, b in zip(heads, bases)]) if heads else np.empty(0, np.int64)
-    out = np.empty((len(starts), BLOCK), np.uint8)
+    out = np.empty((len(starts), BLOCK), np.int8)
     for i in range(0, len(starts), LANES):
         s, e = starts[i : i + LANES], ends[i : i + LANES]
         low = int(s[0])
-        out[i : i + LANES] = (decode_frames(flat[low : int(e[-1])], s - low, e - low) + 128).astype(np.uint8)
+        out[i : i + LANES] = decode_frames(flat[low : int(e[-1])], s - low, e - low)
     result, at = [], 0
     for total, digest, offsets, _ in heads:
         block = out[at : at + len(offsets)]
         at += len(offsets)
-        if len(block) * BLOCK != total or hashlib.md5((block ^ 128).tobytes()).digest() != digest:
+        if len(block) * BLOCK != total or hashlib.md5(block.tobytes()).digest() != digest:
             raise ValueError("the stream's MD5 is wrong")
-        result.append(block.tobytes())
+        result.append(_bytes(block).tobytes())
     return result
 
 
@@ -334,5 +349,5 @@ def seek(stream: bytes, sample: int, count: int) -> bytes:
     _, _, offsets, end = parse(stream)
     first, last = sample // BLOCK, -(-(sample + count) // BLOCK)
     starts, ends = offsets[first:last], np.append(offsets, end)[first + 1 : last + 1]
-    block = (decode_frames(np.frombuffer(stream, np.uint8), starts, ends) + 128).astype(np.uint8).tobytes()
+    block = _bytes(decode_frames(np.frombuffer(stream, np.uint8), starts, ends)).tobytes()
     return block[sample - first * BLOCK :][:count]

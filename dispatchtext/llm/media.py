@@ -48,7 +48,7 @@ def media_digests(media: DataFrame) -> DataFrame:
         for part in slices(batches, "media", SLICE):
             streams = part.column("media").to_pylist()
             rows = [
-                (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(s), hashlib.sha256(s).hexdigest(), feature((np.frombuffer(p, np.uint8) ^ 128).view(np.int8)))
+                (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(s), hashlib.sha256(s).hexdigest(), feature(flac.TO_SAMPLE[np.frombuffer(p, np.uint8)]))
                 for s, p in zip(streams, flac.decode(streams))
             ]
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
@@ -58,7 +58,7 @@ def media_digests(media: DataFrame) -> DataFrame:
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
-    """One row per frame: doc_id, sample_offset, pcm (unsigned 8-bit samples)."""
+    """One row per frame: doc_id, sample_offset, pcm (the payload bytes of its samples)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "media", SLICE):
