@@ -42,6 +42,8 @@ _LETTER = regex.compile(r"\p{L}")
 
 def script(word: str) -> str | None:
     """Script of the first letter, None without letters."""
+    if word[:1].isascii() and word[:1].isalpha():
+        return "latin"
     found = _LETTER.search(word)
     if not found:
         return None
@@ -87,7 +89,7 @@ class Model:
         base = len(self.table)
         self.rows.update(zip(new, range(base, base + len(new))))
         self.table = np.concatenate((self.table, score.astype(np.float32)))
-        self.letters = np.concatenate((self.letters, np.array([len(_LETTER.findall(w)) for w in new], np.int32)))
+        self.letters = np.concatenate((self.letters, np.array([len(w) if w.isalpha() else len(_LETTER.findall(w)) for w in new], np.int32)))
 
     def word_scores(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(scores by word and language, letters by word) of each text."""
