@@ -62,13 +62,22 @@ class Coder:
     def _encode_unit(self, key: str) -> None:
         """A key is a unit without its leading space, or a mark and the unit as it is."""
         unit = key[1:] if key[:1] == _AS_IT_IS else " " + key
-        if _PLAIN.match(unit):
+        if key.isascii() and key.isalpha():  # one part, the most frequent kind
+            if self.fold:
+                part = key.lower()
+                got = self.parts.get(part)
+                if got is None:
+                    got = self.parts[part] = tuple([t.id for t in self.model.tokenize(part)])
+                self.ids.extend(got)
+            else:
+                self.ids.extend([t.id for t in self.model.tokenize("\u0120" + key)])
+        elif _PLAIN.match(unit):
             parts = self.parts
             for p in self.find(unit.lower() if self.fold else unit):
                 got = parts.get(p)
                 if got is None:
                     letters = p.encode().decode("latin-1").translate(_LETTERS)
-                    got = parts[p] = tuple(t.id for t in self.model.tokenize(letters))
+                    got = parts[p] = tuple([t.id for t in self.model.tokenize(letters)])
                 self.ids.extend(got)
         else:
             self.ids.extend(self.tokenizer.encode(unit, add_special_tokens=False).ids)
