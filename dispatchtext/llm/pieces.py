@@ -28,6 +28,8 @@ from sentencepiece import sentencepiece_model_pb2
 from .common import materialize, slices, table
 
 CHUNK_CHARS = 32_768
+#: Bytes of text that one Python step encodes at a time; a list of ids takes about ten times as much.
+TEXT_SLICE = 1 << 20
 NEVER = float("-inf")
 DIGEST = "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean"
 
@@ -212,29 +214,36 @@ def _chunks(giants: DataFrame, chunk: int, margin: int) -> DataFrame:
     )
 
 
-def encode_documents(docs: DataFrame, model: str, chunk: int = CHUNK_CHARS) -> DataFrame:
-    """doc_id, text and ids (32-bit little-endian, binary) of every row of docs.
-
-    Null texts count as empty and give no ids. Null and repeated doc_ids stay as rows. An empty table gives
-    no rows. Other columns of docs are not read.
-    """
+def _rows(docs: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id and text of the documents of one chunk, and of the giant ones."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    small, giant = rows.filter(F.length("text") <= chunk), rows.filter(F.length("text") > chunk)
+    return rows.filter(F.length("text") <= chunk), rows.filter(F.length("text") > chunk)
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _encode_small(small: DataFrame, model: str, digest: bool = False) -> DataFrame:
+    """doc_id, text, ids of documents of one chunk, or at once their DIGEST (no second Python step holds the batch again)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", TEXT_SLICE):
             ids = [np.array(x, "<u4").tobytes() for x in p.plain.encode(part.column("text").to_pylist(), num_threads=1)]
-            yield pa.record_batch([part.column("doc_id"), part.column("text"), pa.array(ids, pa.binary())], names=["doc_id", "text", "ids"])
+            if digest:
+                yield _digest(p, part.column("doc_id"), part.column("text"), ids)
+            else:
+                yield pa.record_batch([part.column("doc_id"), part.column("text"), pa.array(ids, pa.binary())], names=["doc_id", "text", "ids"])
+
+    return small.mapInArrow(run, DIGEST if digest else "doc_id long, text string, ids binary")
+
 
-    short = small.mapInArrow(whole, "doc_id long, text string, ids binary")
+def _encode_giant(giant: DataFrame, model: str, chunk: int) -> DataFrame:
+    """doc_id, text, ids of giant documents by the scan over their chunks."""
     giants = materialize(giant.withColumn("uid", F.monotonically_increasing_id()), "giant-texts")
     margin = 2 * pieces(model).longest
     chunks = materialize(_chunks(giants, chunk, margin).repartition("uid", "n"), "giant-chunks")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
-        for batch in batches:
+        for batch in slices(batches, "part", TEXT_SLICE):
             made = [transfer(p, t, a, b) for t, a, b in zip(*(batch.column(c).to_pylist() for c in ("part", "a", "b")))]
             yield pa.record_batch(
                 [batch.column("uid"), batch.column("n"), pa.array([m.shape[0] for m in made], pa.int32()), pa.array([m.shape[1] for m in made], pa.int32()), pa.array([np.packbits(m == 0).tobytes() for m in made], pa.binary())],
@@ -252,7 +261,7 @@ def encode_documents(docs: DataFrame, model: str, chunk: int = CHUNK_CHARS) -> D
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
-        for batch in batches:
+        for batch in slices(batches, "part", TEXT_SLICE):
             made = [np.array(encode_chunk(p, *x), "<u4").tobytes() for x in zip(*(batch.column(c).to_pylist() for c in ("part", "a", "b", "s", "t")))]
             yield pa.record_batch([batch.column("uid"), batch.column("n"), pa.array(made, pa.binary())], names=["uid", "n", "ids"])
 
@@ -261,8 +270,24 @@ def encode_documents(docs: DataFrame, model: str, chunk: int = CHUNK_CHARS) -> D
     encoded = chunks.join(states_, ["uid", "n"]).select("uid", "n", "part", "a", "b", "s", "t").mapInArrow(finish, "uid long, n int, ids binary")
     joined = encoded.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("n", "ids"))).alias("parts"))
     ids = joined.select("uid", F.aggregate("parts", F.lit("").cast("binary"), lambda acc, x: F.concat(acc, x["ids"])).alias("ids"))
-    long = giants.join(ids, "uid").select("doc_id", "text", "ids")
-    return short.unionByName(long)
+    return giants.join(ids, "uid").select("doc_id", "text", "ids")
+
+
+def encode_documents(docs: DataFrame, model: str, chunk: int = CHUNK_CHARS) -> DataFrame:
+    """doc_id, text and ids (32-bit little-endian, binary) of every row of docs.
+
+    Null texts count as empty and give no ids. Null and repeated doc_ids stay as rows. An empty table gives
+    no rows. Other columns of docs are not read.
+    """
+    small, giant = _rows(docs, chunk)
+    return _encode_small(small, model).unionByName(_encode_giant(giant, model, chunk))
+
+
+def _digest(p: Pieces, doc_ids: pa.Array, texts: pa.Array, raw: list[bytes]) -> pa.RecordBatch:
+    ids = [np.frombuffer(x, "<u4").tolist() for x in raw]
+    same = [d == t.replace("▁", " ") for d, t in zip(p.plain.decode(ids) if ids else [], texts.to_pylist())]
+    counts, crcs = pa.array(map(len, ids), pa.int64()), pa.array(map(zlib.crc32, raw), pa.int64())
+    return pa.record_batch([doc_ids, counts, crcs, pa.array(same, pa.bool_())], names=[c.split()[0] for c in DIGEST.split(", ")])
 
 
 def digests(encoded: DataFrame, model: str) -> DataFrame:
@@ -270,15 +295,17 @@ def digests(encoded: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
-        for part in slices(batches, "text"):
-            raw = part.column("ids").to_pylist()
-            ids = [np.frombuffer(x, "<u4").tolist() for x in raw]
-            same = [d == t.replace("▁", " ") for d, t in zip(p.plain.decode(ids) if ids else [], part.column("text").to_pylist())]
-            yield pa.record_batch([part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(same, pa.bool_())], names=[c.split()[0] for c in DIGEST.split(", ")])
+        for part in slices(batches, "text", TEXT_SLICE):
+            yield _digest(p, part.column("doc_id"), part.column("text"), part.column("ids").to_pylist())
 
     return encoded.mapInArrow(run, DIGEST)
 
 
+def document_digests(docs: DataFrame, model: str, chunk: int = CHUNK_CHARS) -> DataFrame:
+    """digests() of encode_documents(), with one Python step for documents of one chunk."""
+    small, giant = _rows(docs, chunk)
+    return _encode_small(small, model, digest=True).unionByName(digests(_encode_giant(giant, model, chunk), model))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    return digests(encode_documents(table(spark, sf_dir, "documents"), model), model)
+    return document_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
