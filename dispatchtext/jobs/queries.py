@@ -73,10 +73,9 @@ def p9_reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.coalesce("c.reject_reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query(f"select message_id, regexp_replace(text, '(\\+?84|0)[\\s.()\\-]*[3-9]([\\s.()\\-]*[0-9]){{8}}', '[PHONE]', 'g') as masked from {M} where v in (0, 2, 3, 4, 9) and k % 97 <> 0 and k % 89 <> 0")
+@query(f"select message_id, regexp_replace(text, '(\\+?84|0)[\\s.()\\-]*[3-9]([\\s.()\\-]*[0-9]){{8}}', '[PHONE]', 'g') as masked from {M}")
 def p8_generator_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = msg.messages(spark, sf_dir).filter("v in (0, 2, 3, 4, 9) and k % 97 <> 0 and k % 89 <> 0")
-    return rows.select("message_id", phones.mask_generated(F.col("text")).alias("masked"))
+    return msg.messages(spark, sf_dir).select("message_id", phones.mask_generated(F.col("text")).alias("masked"))
 
 
 @query(f"""select message_id, length(text) as n_chars, case when v = 2 and k % 97 <> 0 and k % 89 <> 0 then 3 else 1 end as n_lines,
@@ -113,15 +112,16 @@ def t4_block_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "pages").filter("html like '%<script%'").select("page_id", found["start"].alias("start"), found["end"].alias("end"))
 
 
-@query(f"""select message_id, length(addr) as n_chars, position(addr in text) - 1 as raw_start, position(addr in text) - 1 + length(addr) as raw_end from {M} where v in (0, 4, 9, 10) and k % 97 <> 0 and k % 89 <> 0""")
+@query(f"""select message_id, length(addr) as n_chars, cast(case when seen then position(addr in text) - 1 end as int) as raw_start, cast(case when seen then position(addr in text) - 1 + length(addr) end as int) as raw_end
+  from (select *, k % 97 <> 0 and k % 89 <> 0 and v <> 11 as seen from {M}) x""")
 def t5_p7_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = prepare(msg.messages(spark, sf_dir).filter("v in (0, 4, 9, 10) and k % 97 <> 0 and k % 89 <> 0"))
+    rows = prepare(msg.messages(spark, sf_dir))
     rows = rows.select("*", *[s.alias(f"s{i}") for i, s in enumerate(tx.removal_steps(F.col("raw")))])
     at = F.call_function("locate", F.col("addr"), F.col("masked")) - 1
 
     def back(p):
         inner = phones.unmask_position(p, F.col("candidates"), F.length("sanitized"), F.length("masked"))
-        return tx.to_raw(inner, [F.col(f"s{i}") for i in range(3)], F.length("sanitized"))
+        return F.when(at >= 0, tx.to_raw(inner, [F.col(f"s{i}") for i in range(3)], F.length("sanitized")))
 
     return rows.select("message_id", F.length("addr").alias("n_chars"), back(at).alias("raw_start"), back(at + F.length("addr")).alias("raw_end"))
 
@@ -131,6 +131,39 @@ def t6_fold_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return msg.messages(spark, sf_dir).select("message_id", tx.fold_accents(F.concat_ws(" ", "name", "addr")).alias("folded"))
 
 
+@query(f"select message_id, name as folded from {M}")
+def t7_fold_confusables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return msg.messages(spark, sf_dir).select("message_id", tx.fold_confusables(F.translate("name", "Đđ", "Ðð")).alias("folded"))
+
+
+@query(f"select message_id, cast(case when k % 97 = 0 or k % 89 = 0 then null when v in (0, 2, 3, 4, 5, 7, 9) then 0 when v = 1 then 5 when v = 11 then 4 end as int) as found from {M}")
+def t8_locate_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names without accents and case in the messages."""
+    plain = F.lower(tx.fold_accents(F.col("name")))
+    return msg.messages(spark, sf_dir).select("message_id", tx.locate_tolerant(F.col("text"), plain, F.lit(0)).alias("found"))
+
+
+@query(f"""select message_id, replace(name, ' ', '_') || '|' || name || '|' || replace(name, ' ', '') || '|' || split_part(name, ' ', 1) || ' ' || split_part(name, ' ', 2) || split_part(name, ' ', 3)
+  || '|' || split_part(name, ' ', 1) || split_part(name, ' ', 2) || ' ' || split_part(name, ' ', 3) as surfaces from {M}""")
+def t9_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return msg.messages(spark, sf_dir).select("message_id", F.array_join(tx.surfaces(F.translate("name", " ", "_")), "|").alias("surfaces"))
+
+
+@query(f"""select message_id, cast(length(split_part(name, ' ', 1)) + length(split_part(name, ' ', 2)) + 4 as int) as start, cast(length(name) + 2 as int) as "end" from {M}""")
+def t10_t11_segmented_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last word of segmented names in raw names with doubled spaces."""
+    rows = msg.messages(spark, sf_dir).select("message_id", F.replace("name", F.lit(" "), F.lit("  ")).alias("raw"), F.translate("name", " ", "_").alias("seg"))
+    rows = rows.withColumn("positions", tx.segmented_map(F.col("raw"), F.col("seg")))
+    start = F.length("seg") - F.length(F.substring_index("seg", "_", -1))
+    return rows.select("message_id", tx.segmented_span(start, F.length("seg"), F.col("positions")).alias("s")).select("message_id", "s.start", "s.end")
+
+
+@query("select event_id, event_type || '-|+' || '\\n' || cast(event_id as varchar) as line from events")
+def t12_clean_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    styled = F.concat(F.lit("\x1b[1;31m"), "event_type", F.lit("\x1b[0m─│┌↵"), F.col("event_id").cast("string"))
+    return _t(spark, sf_dir, "events").select("event_id", tx.clean_log(styled).alias("line"))
+
+
 @query("select doc_id, cast(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) as int) as n_units from documents")
 def n4_word_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("n_units"))
