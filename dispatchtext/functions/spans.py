@@ -88,15 +88,25 @@ def vocative(text: Column, raw: Column, end: Column) -> Column:
 
 def candidates(pieces: Column, raw: Column, to_raw, masks: Column, blocks: Column) -> dict[str, Column]:
     """Candidates by type from assembled spans: mapped to raw text, bounded, trimmed, drop rules applied."""
+    # Positions and cuts are fields of their own arrays: each is evaluated once a span.
+    def bound(p: Column) -> Column:
+        return F.struct(p["label"].alias("label"), p["has_b"].alias("has_b"), overlaps(p["start"], p["end"], masks).alias("masked"), to_raw(p["start"]).alias("low"), to_raw(p["end"]).alias("high"))
+
+    def cut(p: Column) -> Column:
+        inside = (p["low"] >= 0) & (p["high"] <= F.length(raw)) & (p["low"] < p["high"]) & ~p["masked"]
+        return F.struct(p["label"].alias("label"), p["has_b"].alias("has_b"), inside.alias("inside"), p["low"].alias("low"), F.substring(raw, p["low"] + 1, p["high"] - p["low"]).alias("cut"))
+
     def place(p: Column) -> Column:
-        low, high = to_raw(p["start"]), to_raw(p["end"])
-        inside = (low >= 0) & (high <= F.length(raw)) & (low < high)
-        cut = F.substring(raw, low + 1, high - low)
-        text = trim(cut)
-        start = low + leading_blanks(cut)
-        return F.struct(p["label"].alias("label"), p["has_b"].alias("has_b"), (inside & (F.length(text) > 0) & ~overlaps(p["start"], p["end"], masks)).alias("good"), start.alias("start"), (start + F.length(text)).alias("end"), text.alias("text"))
-
-    placed = F.filter(F.transform(pieces, place), lambda c: c["good"] & ~overlaps(c["start"], c["end"], blocks))
+        return F.struct(p["label"].alias("label"), p["has_b"].alias("has_b"), p["inside"].alias("inside"), (p["low"] + leading_blanks(p["cut"])).alias("start"), trim(p["cut"]).alias("text"))
+
+    def close(p: Column) -> Column:
+        good = p["inside"] & (F.length(p["text"]) > 0)
+        return F.struct(p["label"].alias("label"), p["has_b"].alias("has_b"), good.alias("good"), p["start"].alias("start"), (p["start"] + F.length(p["text"])).alias("end"), p["text"].alias("text"))
+
+    placed = pieces
+    for step in (bound, cut, place, close):
+        placed = F.transform(placed, step)
+    placed = F.filter(placed, lambda c: c["good"] & ~overlaps(c["start"], c["end"], blocks))
 
     def plain(found: Column) -> Column:
         return F.transform(found, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["text"].alias("text")))

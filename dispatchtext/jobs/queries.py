@@ -69,7 +69,7 @@ def p1_p6_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""select reason, cast(sum(n) as bigint) as n from (select case v when 6 then 'invalid_length' when 7 then 'legacy_prefix' when 8 then 'context_order_id' else 'accepted' end as reason,
   case when v = 9 then 2 when v = 10 then 0 else 1 end as n from {M} where k % 97 <> 0 and k % 89 <> 0) x group by reason""")
 def p9_reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = prepare(msg.messages(spark, sf_dir)).select(F.explode("candidates").alias("c"))
+    rows = prepare(msg.messages(spark, sf_dir)).select(F.explode_outer("candidates").alias("c")).filter("c is not null")  # no filter that finds candidates again
     return rows.groupBy(F.coalesce("c.reject_reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
 
 
