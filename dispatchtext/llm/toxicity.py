@@ -3,8 +3,9 @@
 Both dictionaries hold the same ordinary text; the toxic one also holds passages of toxic text, so a window
 gets shorter under it only where toxic content matches. A window is one word in a fixed frame of ordinary
 text. Letters are stretched to STRETCH bytes each, so that a match of a short word outweighs the cost of
-coding the match. A word that shares no MIN_MATCH
-letters with the toxic content cannot match it and has distance 0 without compressing. A document's
+coding the match. Passages come from marks: groups of GRAMS letters that toxic documents hold far more often,
+within clusters of similar text (languages, mostly) as well as over all, so that a mark of a small language
+counts. A word that holds no mark has distance 0: part of a mark is ordinary text as often as not. A document's
 distances (the largest, their sum, the text's length) give a score by logistic calibration.
 
 Training uses at most max_train documents per class, the first by a hash of the key, each with its distinct
@@ -13,6 +14,7 @@ words; texts over MAX_TRAIN_CHARS are not trained on. Scoring reads every whole
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,7 +30,10 @@ from .common import crc_mod, slices, table
 from .words import batch_words
 
 MAX_TRAIN, MAX_TRAIN_CHARS = 2500, 200_000
-GRAM, MIN_MATCH, MIN_DOCS, MIN_SHARE, LIFT = 5, 4, 3, 0.02, 10.0
+#: Letters of a group, and when a group marks toxic text; CHANCE bounds the probability that it does so by chance.
+GRAMS, MIN_DOCS, MIN_SHARE, LIFT, CHANCE = (5, 6, 7, 8), 3, 0.02, 10.0, 1e-4
+#: Clusters of the training documents; hash buckets of the bounds on document frequencies.
+CLUSTERS, BUCKETS = 8, 1 << 21
 STRETCH = 2
 #: Bytes saved from which a word adds to its document's sum.
 SURE = 6
@@ -43,45 +48,140 @@ def stretch(data: bytes) -> bytes:
     return np.stack([b, *(b ^ np.uint8(0x55 * k) for k in range(1, STRETCH))], axis=1).tobytes()
 
 
-def _grams(word: str) -> list[str]:
-    padded = " " + word
-    return [padded[i : i + GRAM] for i in range(max(1, len(padded) - GRAM + 1))]
-
-
-def passages(toxic: list[list[str]], ordinary: list[list[str]]) -> list[str]:
-    """Stretches of words that mark toxic documents: groups of letters far more frequent in them, commonest last."""
-    seen = Counter(), Counter()
-    for count, docs in zip(seen, (toxic, ordinary)):
-        for words in docs:
-            count.update({g for w in words for g in _grams(w)})
-    n_tox, n_ord = max(len(toxic), 1), max(len(ordinary), 1)
-    least = max(MIN_DOCS, MIN_SHARE * n_tox)
-    marks = {g for g, n in seen[0].items() if n >= least and n / n_tox >= LIFT * (seen[1][g] + 0.5) / n_ord}
-    docs_of = Counter(w for words in toxic for w in set(words))
-    holding: dict[str, set[str]] = {}
-    for w in docs_of:
-        for g in marks.intersection(_grams(w)):
-            holding.setdefault(g, set()).add(w)
-    # Cover the words by few groups of letters: what only comes with a chosen group (an ending) is left out.
-    out, size = [], 0
-    weight = {g: sum(docs_of[w] for w in ws) for g, ws in holding.items()}
-    while holding:
-        best = max(weight, key=lambda g: (weight[g], g))
-        if weight[best] < least:
-            break
-        words = holding[best]
-        stem = _widen(best, [(" " + w + " ", docs_of[w]) for w in words])
-        size += len(stem.encode()) + 1
-        if size > TOXIC_BYTES:
-            break
-        out.append(stem)
-        gone = set(words)
-        for g in [g for g, ws in holding.items() if not ws.isdisjoint(gone)]:
-            weight[g] -= sum(docs_of[w] for w in holding[g] & gone)
-            holding[g] -= gone
-            if not holding[g]:
-                del holding[g], weight[g]
-    return out[::-1]
+def _grams(word: str) -> set[str]:
+    """Groups of GRAMS letters of the word and the spaces at its ends; a shorter word is its own group."""
+    padded = " " + word + " "
+    return {padded[i : i + n] for n in GRAMS for i in range(max(1, len(padded) - n + 1))}
+
+
+def clusters(docs: list[list[str]], k: int = CLUSTERS) -> np.ndarray:
+    """A cluster for each document by its pairs of bytes (spherical k-means, farthest first); labels are not used."""
+    x = np.zeros((len(docs), 1024), np.float32)
+    for i, words in enumerate(docs):
+        b = np.frombuffer(" ".join(words).encode()[:20_000], np.uint8).astype(np.uint32)
+        if len(b) > 1:
+            pairs = ((b[:-1] * np.uint32(257) + b[1:]) * np.uint32(2654435761)) >> np.uint32(22)
+            x[i] = np.sqrt(np.bincount(pairs, minlength=1024))
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    centre = [x[(x @ x.mean(0)).argmax()]]
+    near = x @ centre[0]
+    while len(centre) < min(k, len(x)):
+        centre.append(x[near.argmin()])
+        near = np.maximum(near, x @ centre[-1])
+    c = np.stack(centre)
+    for _ in range(20):
+        of = (x @ c.T).argmax(1)
+        for j in range(len(c)):
+            if (of == j).any():
+                mean = x[of == j].mean(0)
+                c[j] = mean / max(np.linalg.norm(mean), 1e-9)
+    return of
+
+
+def _chance(n: int, m: int, share: float) -> float:
+    """Probability that n or more of n + m documents are toxic when each is with probability `share`."""
+    t = n + m
+    return sum(
+        math.exp(math.lgamma(t + 1) - math.lgamma(i + 1) - math.lgamma(t - i + 1) + i * math.log(share) + (t - i) * math.log1p(-share)) for i in range(n, t + 1)
+    )
+
+
+class Groups:
+    """Document frequencies of groups of letters, by fold and cluster, for the groups that can be marks."""
+
+    def __init__(self, toxic: list[list[str]], ordinary: list[list[str]]):
+        of = clusters(toxic + ordinary).tolist()
+        self.n, self.words, self.seen = {}, {}, {}
+        self.places = sorted(set(of)) + [-1]  # -1: all clusters together
+        for label, docs, places in ((1, toxic, of[: len(toxic)]), (0, ordinary, of[len(toxic) :])):
+            for fold in (0, 1):
+                for c in self.places:
+                    own = [w for w, at in zip(docs[fold::2], places[fold::2]) if c in (at, -1)]
+                    self.n[label, fold, c] = len(own)
+                    if label:
+                        self.words[fold, c] = Counter(w for words in own for w in words)
+        self.frequent = self._bounds()
+        self.cache: dict[str, tuple[str, ...]] = {}
+        self.names: dict[str, str] = {}
+        for label, docs, places in ((1, toxic, of[: len(toxic)]), (0, ordinary, of[len(toxic) :])):
+            for fold in (0, 1):
+                for c in self.places:
+                    self.seen[label, fold, c] = Counter()
+                for words, at in zip(docs[fold::2], places[fold::2]):
+                    self.seen[label, fold, at].update({g for w in words for g in self.of(w)})
+                for c in self.places[:-1]:
+                    self.seen[label, fold, -1].update(self.seen[label, fold, c])
+
+    def _bounds(self) -> np.ndarray:
+        """By hash of a group: whether its words are in enough toxic documents of some cluster (no frequent group is missed)."""
+        enough = np.zeros(BUCKETS, bool)
+        all_words = list(self.words[0, -1].keys() | self.words[1, -1].keys())
+        counts = {c: np.zeros(BUCKETS, np.int32) for c in self.places}
+        for start in range(0, len(all_words), 50_000):
+            part = all_words[start : start + 50_000]
+            groups = [[hash(g) % BUCKETS for g in _grams(w)] for w in part]
+            size = [len(g) for g in groups]
+            at = np.fromiter((h for g in groups for h in g), np.int64, sum(size))
+            for c, total in counts.items():
+                times = np.repeat(np.array([self.words[0, c][w] + self.words[1, c][w] for w in part], np.int64), size)
+                some = times > 0
+                total += np.bincount(at[some], times[some], BUCKETS).astype(np.int32)
+        for c, total in counts.items():
+            enough |= total >= max(MIN_DOCS, MIN_SHARE * min(self.n[1, 0, c], self.n[1, 1, c]))
+        return enough
+
+    def of(self, word: str) -> tuple[str, ...]:
+        got = self.cache.get(word)
+        if got is None:
+            got = self.cache[word] = tuple(self.names.setdefault(g, g) for g in _grams(word) if self.frequent[hash(g) % BUCKETS])
+        return got
+
+    def passages(self, folds: tuple[int, ...]) -> dict[str, str]:
+        """Marks of toxic documents of these folds, each with the stretch of words that it stands for, commonest last.
+
+        A mark is a group of letters that, within a cluster or over all, is far more frequent in toxic documents
+        than in ordinary ones, and too often so to be chance.
+        """
+        found: dict[str, tuple[int, str]] = {}
+        for c in self.places:
+            n_tox, n_ord = (sum(self.n[label, f, c] for f in folds) for label in (1, 0))
+            if not n_tox:
+                continue
+            tox, ordinary, docs_of = Counter(), Counter(), Counter()
+            for f in folds:
+                tox.update(self.seen[1, f, c])
+                ordinary.update(self.seen[0, f, c])
+                docs_of.update(self.words[f, c])
+            least, share = max(MIN_DOCS, MIN_SHARE * n_tox), (n_tox + 0.5) / (n_tox + n_ord + 1)
+            marks = {
+                g for g, n in tox.items()
+                if n >= least and n / n_tox >= LIFT * (ordinary[g] + 0.5) / max(n_ord, 1) and _chance(n, ordinary[g], share) < CHANCE
+            }
+            holding: dict[str, set[str]] = {}
+            for w in docs_of:
+                for g in marks.intersection(self.of(w)):
+                    holding.setdefault(g, set()).add(w)
+            # Cover the words by few groups of letters: what only comes with a chosen group (an ending) is left out.
+            weight = {g: sum(docs_of[w] for w in ws) for g, ws in holding.items()}
+            while holding:
+                best = max(weight, key=lambda g: (weight[g], -len(g), g))
+                if weight[best] < MIN_DOCS:
+                    break
+                gone = set(holding[best])
+                stem = _widen(best, [(" " + w + " ", docs_of[w]) for w in sorted(gone)])
+                found[best] = max(found.get(best, (0, "")), (weight[best], stem))
+                for g in [g for g, ws in holding.items() if not ws.isdisjoint(gone)]:
+                    weight[g] -= sum(docs_of[w] for w in holding[g] & gone)
+                    holding[g] -= gone
+                    if not holding[g]:
+                        del holding[g], weight[g]
+        out, size = [], 0
+        for mark, (_, stem) in sorted(found.items(), key=lambda x: (-x[1][0], x[0])):
+            size += len(stem.encode()) + 1
+            if size > TOXIC_BYTES:
+                break
+            out.append((mark, stem))
+        return dict(out[::-1])
 
 
 def _widen(stem: str, words: list[tuple[str, int]]) -> str:
@@ -109,6 +209,7 @@ class Model:
     ordinary: bytes
     toxic: bytes
     weights: tuple[float, ...]
+    marks: tuple[str, ...] = ()
 
     def prepare(self) -> None:
         params = zstandard.ZstdCompressionParameters(
@@ -120,16 +221,19 @@ class Model:
             held = zstandard.ZstdCompressionDict(stretch(content), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             held.precompute_compress(compression_params=params)
             self.press.append(zstandard.ZstdCompressor(dict_data=held, compression_params=params))
-        self.pieces = {self.toxic[i : i + MIN_MATCH] for i in range(len(self.toxic) - MIN_MATCH + 1)}
+        self.heads: dict[str, tuple[str, ...]] = {}
+        for mark in self.marks:
+            head = mark[: GRAMS[0]]
+            self.heads[head] = (*self.heads.get(head, ()), mark)
         self.known: dict[str, int] = {}
 
     def distance(self, word: str) -> int:
         """Bytes that the toxic dictionary saves on the word's window; 0 for none."""
         got = self.known.get(word)
         if got is None:
-            raw = b" " + word.encode()
-            if any(raw[i : i + MIN_MATCH] in self.pieces for i in range(len(raw) - MIN_MATCH + 1)):
-                window = self.frame + stretch(raw + b" ")
+            padded, heads = f" {word} ", self.heads
+            if any(padded.startswith(mark, i) for i in range(len(padded)) for mark in heads.get(padded[i : i + GRAMS[0]], ())):
+                window = self.frame + stretch(padded.encode())
                 a, b = (len(p.compress(window)) for p in self.press)
                 got = max(0, a - b)
             else:
@@ -199,14 +303,21 @@ def fit(toxic: list[list[str]], ordinary: list[list[str]]) -> Model:
     toxic, ordinary = distinct_docs(toxic), distinct_docs(ordinary)
     if not toxic or not ordinary:
         return Model(b"the and of to", b"", ())
+    groups = Groups(toxic, ordinary)
+
+    def model(docs: list[list[str]], folds: tuple[int, ...]) -> Model:
+        found = groups.passages(folds)
+        return Model(_ordinary(docs), "\n".join(found.values()).encode(), (), tuple(found))
+
     xs, ys = [], []
     for fold in (0, 1):
-        half = Model(_ordinary(ordinary[1 - fold :: 2]), "\n".join(passages(toxic[1 - fold :: 2], ordinary[1 - fold :: 2])).encode(), ())
+        half = model(ordinary[1 - fold :: 2], (1 - fold,))
         half.prepare()
         for label, docs in ((1, toxic[fold::2]), (0, ordinary[fold::2])):
             xs.append(half.features(pa.array([" ".join(w) for w in docs], pa.string())))
             ys.append(np.full(len(docs), float(label)))
-    return Model(_ordinary(ordinary), "\n".join(passages(toxic, ordinary)).encode(), _calibrate(np.concatenate(xs), np.concatenate(ys)))
+    whole = model(ordinary, (0, 1))
+    return Model(whole.ordinary, whole.toxic, _calibrate(np.concatenate(xs), np.concatenate(ys)), whole.marks)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:

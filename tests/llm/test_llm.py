@@ -195,6 +195,28 @@ def test_toxicity_separates(spark, docs, none):
     assert toxicity.score(none, model).count() == 0 and toxicity.score(docs, toxicity.fit([], [])).count() == docs.count()
 
 
+def test_toxicity_of_a_small_language_with_long_marks():
+    """Marks longer than 5 letters, all of whose 5-letter groups are ordinary, in 3 % of the toxic documents."""
+    rnd = random.Random(12)
+    small = [a + b for a in "шк рт льн бр чк вд гл мн".split() for b in "аеиоуыяю"]
+
+    def text(words, extra=()):
+        return [rnd.choice(words) + rnd.choice(words) for _ in range(40)] + list(extra)
+
+    def rare(toxic):
+        own = ["злобарт", "обартик", "артикус"]  # every group of five letters of the mark is ordinary
+        return text(small, ["злобартикус"] if toxic else own)
+
+    def split(toxic, big, few):
+        return [text(WORDS, ["blargface"] if toxic else []) for _ in range(big)] + [rare(toxic) for _ in range(few)]
+
+    model = toxicity.fit(split(True, 600, 18), split(False, 600, 150))
+    model.prepare()
+    held = [(rare(t), t) for t in (True, False) for _ in range(20)]
+    predicted = model.scores(model.features(toxicity.pa.array([" ".join(w) for w, _ in held]))) >= toxicity.THRESHOLD
+    assert [bool(p) for p in predicted] == [t for _, t in held]
+
+
 def test_pieces_scan_equals_library():
     p = pieces.pieces(public_tokenizers.path("piece_bpe_32k.model"))
     rnd = random.Random(3)
