@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, new_path, table
 
@@ -113,19 +114,60 @@ def reshard(docs: DataFrame, old: str | None = None, old_shards: int = OLD_SHARD
     )
 
 
-def rewrite(docs: DataFrame, placed: DataFrame, old_path: str, new_path_: str) -> list[int]:
+def _sized(docs: DataFrame, size: str, crc: str) -> DataFrame:
+    """docs with the size and the checksum of each text, in columns of these names."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    return docs.withColumns({size: (F.octet_length(text) + 1).cast("long"), crc: F.crc32(text)})
+
+
+def rewrite(docs: DataFrame | None, placed: DataFrame, old_path: str, new_path_: str) -> list[int]:
     """Write the rows of every affected shard under new_path_/shard=N; returns the shards that were written.
 
     A shard is affected when a row entered or left it; the files of all others at old_path stay valid. docs
-    must hold each doc_id once, with the columns that the files hold.
+    holds the rows that were placed (None: those of the files at old_path); files get its columns and slot, each file
+    in slot order. Rows are found by key, size and checksum and counted off among equals, so null and repeated
+    keys are written once for each row.
     """
+    spark = placed.sparkSession
+    docs = spark.read.parquet(old_path) if docs is None else docs
     changed = placed.filter("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct()
     affected = sorted(r["s"] for r in changed.collect())
-    rows = docs.join(placed.filter(F.col("shard").isin(affected)).select("doc_id", "shard", "slot"), "doc_id")
-    rows.repartition("shard", F.floor(F.col("slot") / ROWS_PER_BLOCK)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(new_path_)
+    columns = [c for c in docs.columns if c not in ("shard", "slot")]
+    keys = ["_none", "_id", "_size", "_crc"]
+
+    def keyed(rows: DataFrame, order: list[str]) -> DataFrame:
+        own = F.col("doc_id").cast("long")
+        rows = rows.select("*", own.isNull().alias("_none"), F.coalesce(own, F.lit(0)).alias("_id"))
+        return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+    sized = keyed(_sized(docs.select(*columns), "_size", "_crc"), keys).select(*columns, *keys, "_nth")
+    targets = keyed(placed.withColumnsRenamed({"size": "_size", "text_crc32": "_crc"}), ["shard", "slot"]).select(*keys, "_nth", "shard", "slot")
+    setting = "spark.sql.requireAllClusterKeysForCoPartition"  # both sides are already split by `keys`: no second shuffle of texts
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        rows = sized.join(targets.hint("shuffle_merge"), [*keys, "_nth"]).filter(F.col("shard").isin(affected)).select(*columns, "shard", "slot")
+        rows.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(new_path_)
+    finally:
+        spark.conf.set(setting, before)
     return affected
 
 
+def read_shards(docs: DataFrame, placed: DataFrame, new_path_: str, affected: list[int]) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot: of affected shards from the files at new_path_, of others as placed."""
+    out = ["doc_id", "size", "text_crc32", "shard", "slot"]
+    kept = placed.filter(~F.col("shard").isin(affected)).select(*out)
+    if not affected:
+        return kept
+    schema = T.StructType([*(f for f in docs.schema if f.name not in ("shard", "slot")), T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])
+    files = docs.sparkSession.read.schema(schema).parquet(new_path_)
+    return _sized(files, "size", "text_crc32").select(F.col("doc_id").cast("long").alias("doc_id"), *out[1:]).unionByName(kept)
+
+
 def op8_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = reshard(table(spark, sf_dir, "documents"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """Place the documents, write the affected shards and read the result off the files."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    placed = materialize(reshard(docs), "reshard-plan")
+    path = new_path(spark, "reshard-shards")
+    rows = read_shards(docs, placed, path, rewrite(docs, placed, "", path))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -309,6 +309,27 @@ def test_rewrite(spark, tmp_path):
     assert back.count() == placed.filter(placed.shard.isin(shards)).count()
 
 
+def test_rewrite_keeps_null_and_repeated_keys(spark, tmp_path):
+    rows = [(i % 40 if i % 7 else None, f"text {i % 60}" * (i % 9), i) for i in range(300)] + [(3, "same", 1)] * 5 + [(None, None, 2)] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string, size int").cache()
+    placed = resharding.reshard(docs, rows_per_block=20).cache()
+    path = str(tmp_path / "new")
+    shards = resharding.rewrite(docs, placed, "", path)
+    assert shards == list(range(8))
+    back = spark.read.parquet(path).collect()
+    assert sorted(((r["doc_id"], r["text"], r["size"]) for r in back), key=repr) == sorted(rows, key=repr)
+    slot = sorted((r["shard"], r["slot"], r["doc_id"] if r["doc_id"] is not None else -1, zlib.crc32((r["text"] or "").encode())) for r in back)
+    assert slot == sorted((r["shard"], r["slot"], r["doc_id"] if r["doc_id"] is not None else -1, r["text_crc32"]) for r in placed.collect())
+    read = resharding.read_shards(docs, placed, path, shards)
+    assert sorted(map(tuple, read.collect()), key=repr) == sorted(map(tuple, placed.select(read.columns).collect()), key=repr)
+
+
+def test_resharding_query_reads_written_files(spark):
+    out = resharding.op8_resharding(spark, "/root/testdata/sf0.001")
+    assert any("reshard-shards" in f for f in out.inputFiles())
+    assert out.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
 def test_packing(spark, docs, none):
     rows = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=64, group_pieces=40).collect()
     held = {}
