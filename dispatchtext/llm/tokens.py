@@ -2,7 +2,8 @@
 
 Both files here split a text before the merges, and never join a character that is not white space to a
 space that follows it. So a text may be cut in front of every single space, and each distinct unit is
-encoded once per Python worker; the tests hold the ids against plain encode().
+encoded once per Python worker; the tests hold the ids against plain encode(). A text that holds a special
+token of the file goes to the library whole.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from tokenizers import Tokenizer
 
 #: Distinct units or parts kept per worker; the cache starts anew beyond that (results do not change).
 MAX_UNITS = 600_000
+#: Ids kept per worker; the cache starts anew beyond that (results do not change).
+MAX_IDS = 16_000_000
 
 #: The byte-level split pattern of the byte_bpe file and the split pattern of the word_bpe file.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -44,11 +47,17 @@ _LETTERS = _byte_letters()
 
 
 class Coder:
-    """ids of texts. `fold`: the file lower-cases and drops white space (word_bpe), else byte-level (byte_bpe)."""
+    """ids of texts. `fold`: the file lower-cases and drops white space (word_bpe), else byte-level (byte_bpe).
 
-    def __init__(self, path: str, fold: bool, max_units: int = MAX_UNITS):
+    `special`: special tokens written in a text get their own ids, as the library does by default; else they
+    are encoded like other text.
+    """
+
+    def __init__(self, path: str, fold: bool, max_units: int = MAX_UNITS, special: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        names = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = "|".join(names) if special else ""
         self.model = self.tokenizer.model
         self.fold, self.max_units = fold, max_units
         self.find = regex.compile(WORD_PATTERN if fold else BYTE_PATTERN).findall
@@ -96,6 +105,12 @@ class Coder:
                 merged.append(" " + k)
         return [_AS_IT_IS + m for m in merged if m]
 
+    def _whole(self, text: str) -> np.ndarray:
+        """The library's encoding of a text as a unit of its own, without a key."""
+        self.ids.extend(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        self.starts.append(len(self.ids))
+        return np.array([len(self.starts) - 2], np.int64)
+
     def _lookup(self, keys: list[str]) -> np.ndarray:
         known = self.units
         for k in keys:
@@ -105,10 +120,12 @@ class Coder:
 
     def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in a row, number of ids of each text). Nulls count as empty."""
-        if len(self.units) > self.max_units or len(self.parts) > self.max_units:
+        if len(self.units) > self.max_units or len(self.parts) > self.max_units or len(self.ids) > MAX_IDS:
             self.clear()
         texts = texts.fill_null("")
         odd = pc.match_substring_regex(texts, _ODD)
+        whole = pc.match_substring_regex(texts, self.special) if self.special else pa.array(np.zeros(len(texts), bool))
+        odd = pc.or_(odd, whole)
         split = pc.split_pattern(pc.if_else(odd, "", texts), " ")
         offsets, values = split.offsets.to_numpy().astype(np.int64), split.values.dictionary_encode()
         index = self._lookup(values.dictionary.to_pylist())[values.indices.to_numpy()]
@@ -117,7 +134,8 @@ class Coder:
         counts = np.diff(offsets)
         at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
         if len(at):  # each has one empty unit so far
-            own = [self._lookup(self._split(t)) for t in texts.take(pa.array(at)).to_pylist()]
+            whole_at = whole.to_numpy(zero_copy_only=False)[at].tolist()
+            own = [self._whole(t) if w else self._lookup(self._split(t)) for t, w in zip(texts.take(pa.array(at)).to_pylist(), whole_at)]
             pieces, last = [], 0
             for i, units in zip(at.tolist(), own):
                 pieces += [index[last : offsets[i]], units]
@@ -139,7 +157,7 @@ _coders: dict[tuple, Coder] = {}
 
 
 def coder(path: str, fold: bool) -> Coder:
-    """One coder per worker process."""
+    """One coder per worker process; its ids are those of the library's defaults."""
     if (path, fold) not in _coders:
-        _coders[path, fold] = Coder(path, fold)
+        _coders[path, fold] = Coder(path, fold, special=True)
     return _coders[path, fold]

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from dispatchtext.llm import flac, html_extract, language, media, packing, pieces, quality, resharding, simhash, token_store, toxicity
-from dispatchtext.llm.tokens import Coder
+from dispatchtext.llm.tokens import Coder, coder
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, component_id long, block string"
@@ -108,6 +108,23 @@ def test_units_give_the_library_ids(name, fold):
         assert coder.encode_many([t])[0].tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name,fold", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_special_tokens_get_the_library_ids(name, fold):
+    path = public_tokenizers.path(name)
+    untouched = Tokenizer.from_file(path)
+    texts = [*TRICKY, "a <|endoftext|> b", "<|startoftext|>  a<|endoftext|>", "<|ENDOFTEXT|> a", "\x00<|endoftext|> \x00 b", "plain words", "<|endoftext|>", None, "<|endoftext|"]
+    ids, n = coder(path, fold).encode_many(texts)
+    ends = np.cumsum(n)
+    for t, a, b in zip(texts, ends - n, ends):
+        assert ids[a:b].tolist() == untouched.encode(t or "", add_special_tokens=False).ids
+
+
+def test_token_store_matches_special_tokens(spark, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    store = token_store.write_store(spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "c")], "doc_id long, text string"), str(tmp_path / "store"), path)
+    assert {r["doc_id"]: r["ids"] for r in token_store.fetch(store, [1, 2]).collect()} == {1: [64, 220, 50256, 275, 0], 2: [66, 0]}
+
+
 def test_token_store(spark, docs, none, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     store = token_store.write_store(docs, str(tmp_path / "store"), path, parts=3)
