@@ -112,6 +112,22 @@ def t4_block_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "pages").filter("html like '%<script%'").select("page_id", found["start"].alias("start"), found["end"].alias("end"))
 
 
+def block_spans(pages: DataFrame) -> DataFrame:
+    """page_id, kind, ordinal (from 0 by kind), start and end in html of every removed script and style block."""
+    steps = tx.removal_steps(F.col("html"))
+    rows = pages.select("page_id", F.size(steps[0]).alias("scripts"), F.posexplode(tx.raw_blocks(steps)).alias("at", "block"))
+    style = F.col("at") >= F.col("scripts")
+    return rows.select(
+        "page_id", F.when(style, "style").otherwise("script").alias("kind"), (F.col("at") - F.when(style, F.col("scripts")).otherwise(0)).alias("ordinal"),
+        F.col("block.start").alias("start"), F.col("block.end").alias("end"),
+    )
+
+
+@query()
+def t4_all_block_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_spans(_t(spark, sf_dir, "pages"))
+
+
 @query(f"""select message_id, length(addr) as n_chars, cast(case when seen then position(addr in text) - 1 end as int) as raw_start, cast(case when seen then position(addr in text) - 1 + length(addr) end as int) as raw_end
   from (select *, k % 97 <> 0 and k % 89 <> 0 and v <> 11 as seen from {M}) x""")
 def t5_p7_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
