@@ -386,14 +386,6 @@ def test_quality(spark, docs, none):
     assert quality.quality(none).count() == 0
 
 
-def test_quality_agrees_with_labels(spark):
-    sf = "/root/testdata/sf0.01"
-    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
-    rows = quality.quality(spark.read.parquet(f"{sf}/documents.parquet")).join(labels, "doc_id").collect()
-    good = [r for r in rows if r["quality"] == 1 and not r["base_failed"]]
-    assert sum(r["kept"] for r in good) / len(good) > 0.97
-
-
 def test_pipeline_on_small_tables(spark):
     import corpus_pipeline
 
