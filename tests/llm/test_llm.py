@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from dispatchtext.llm import flac, html_extract, language, media, packing, pieces, quality, resharding, simhash, token_store, toxicity
+from dispatchtext.llm import flac, language, media, packing, pieces, quality, resharding, simhash, token_store, toxicity
 from dispatchtext.llm.tokens import Coder, coder
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
@@ -155,18 +155,6 @@ def test_perfect_hash(n):
     assert (token_store.find(others, *index) >= 0).mean() < 0.01 if n else True
 
 
-def test_html(spark):
-    page = '<html><head><title>T</title><style>p{{}}</style></head><body><nav><a>menu</a></nav><div class="ad">buy</div><article><h1>A &amp; {0}</h1><p>Long {0}  text\nhere <b>bold</b> that goes on and on.<br><p>More &lt;{0}&gt; words that vary a lot.</article><div class="comments"><p>reader</p></div><footer>f</footer></body></html>'
-    rows = [(i, f"http://h{i % 2}.example/x", page.format(i), "clash") for i in range(14)] + [(90, None, None, ""), (91, "no url", "", ""), (92, "http://solo.example/", page.format("s"), ""), (None, "http://h0.example/", page.format(0), "")]
-    got = {r["page_id"]: r for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, frame string")).collect()}
-    assert len(got) == len(rows)
-    for i in [*range(14)]:
-        assert got[i]["text"] == f"A & {i}\nLong {i} text here bold that goes on and on.\nMore <{i}> words that vary a lot."
-        assert got[i]["n_chars"] == len(got[i]["text"])
-    assert got[90]["text"] == got[91]["text"] == "" and got[92]["text"].startswith("A & s\n")
-    assert html_extract.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
-
-
 def brute_viterbi(score, switch):
     n, k = score.shape
     best = (-1e18, None)
