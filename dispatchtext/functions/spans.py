@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import UNIT, empty, leading_blanks, match_spans, trim
+from .text import UNIT, WORD, empty, leading_blanks, let, match_spans, trim
 
-#: The label set by id, and the words that are evidence of an address.
+#: The label set by id, the id of positions that do not count, special tokens, and the words that are
+#: evidence of an address.
+IGNORE = -100
+SPECIALS = ("<s>", "</s>", "<pad>", "<unk>", "[CLS]", "[SEP]", "[PAD]")
 LABELS = ("O", "B-PER", "I-PER", "B-ADDR", "I-ADDR", "B-NOTE", "I-NOTE")
 TYPES = ("PER", "ADDR", "NOTE")
 ADDRESS_WORDS = (
@@ -25,31 +28,42 @@ def decode_logits(logits: Column) -> Column:
     return F.coalesce(F.try_element_at(F.array(*map(F.lit, LABELS)), F.when(best > 0, best)), F.lit("O"))
 
 
+def bio_label(unit: Column, entities: Column) -> Column:
+    """Label of a unit (start, end) by containment in entities (array of start, end, label); the first entity that holds it wins."""
+    held = F.filter(entities, lambda e: (unit["start"] >= e["start"]) & (unit["end"] <= e["end"]))
+    return let(F.get(held, 0), lambda e: F.when(e.isNull(), "O").otherwise(F.concat(F.when(unit["start"] == e["start"], "B-").otherwise("I-"), e["label"])))
+
+
 def label_units(text: Column, entities: Column) -> Column:
-    """Tokens of text labelled by containment in entities (array of start, end, label); the first entity that holds a unit wins."""
-    def label(u: Column) -> Column:
-        held = F.filter(entities, lambda e: (u["start"] >= e["start"]) & (u["end"] <= e["end"]))
-        first = F.get(held, 0)
-        return F.struct(
-            u["start"].alias("start"), u["end"].alias("end"), u["text"].alias("token"),
-            F.when(F.size(held) == 0, "O").when(u["start"] == first["start"], F.concat(F.lit("B-"), first["label"])).otherwise(F.concat(F.lit("I-"), first["label"])).alias("label"),
-        )
+    """Words and marks of text as tokens with their labels."""
+    return F.transform(match_spans(text, UNIT), lambda u: F.struct(u["start"].alias("start"), u["end"].alias("end"), u["text"].alias("token"), bio_label(u, entities).alias("label")))
+
+
+def word_units(text: Column) -> Column:
+    """Spans of runs without white space."""
+    return match_spans(text, WORD)
+
+
+def label_ids(units: Column, entities: Column, most: int = 256) -> Column:
+    """Ids of the labels of units (array of start, end), IGNORE for units without width; of more than `most` units the first ones and the last stay."""
+    cut = F.when(F.size(units) > most, F.concat(F.slice(units, 1, most - 1), F.slice(units, -1, 1))).otherwise(units)
+    return F.transform(cut, lambda u: F.when(u["start"] == u["end"], F.lit(IGNORE)).otherwise(F.array_position(F.array(*map(F.lit, LABELS)), bio_label(u, entities)).cast("int") - 1))
 
-    return F.transform(match_spans(text, UNIT), label)
 
+def token_offsets(text: Column, tokens: Column, specials: tuple[str, ...] = SPECIALS) -> Column:
+    """start, end of tokens that come without offsets: piece marks dropped, white space skipped; special and empty pieces have none.
 
-def token_offsets(text: Column, tokens: Column) -> Column:
-    """start, end of tokens that come without offsets: piece marks dropped, white space skipped, clamped where not found."""
+    A piece that is not found takes the next characters, as many as it has.
+    """
     def step(acc: Column, t: Column) -> Column:
         word = F.regexp_replace(F.regexp_replace(t, "^▁", ""), "@@$", "")
-        special = t.isin("<s>", "</s>", "<pad>", "<unk>", "[CLS]", "[SEP]", "[PAD]")
-        rest = F.substring(text, acc["pos"] + 1, F.length(text))
-        at = acc["pos"] + leading_blanks(rest)
+        none = t.isin(*specials) | (word == "")
+        at = acc["pos"] + leading_blanks(F.substring(text, acc["pos"] + 1, F.length(text)))
         found = F.call_function("locate", word, text, at + 1) - 1
         start = F.when(found >= 0, found).otherwise(F.least(at, F.length(text)))
-        end = F.when(found >= 0, found + F.length(word)).otherwise(start)
-        span = F.when(special, F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))).otherwise(F.struct(start.alias("start"), end.alias("end")))
-        return F.struct(F.when(special, acc["pos"]).otherwise(end).alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
+        end = F.least(start + F.length(word), F.length(text))
+        span = F.when(none, F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))).otherwise(F.struct(start.alias("start"), end.alias("end")))
+        return F.struct(F.when(none, acc["pos"]).otherwise(end).alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
 
     zero = F.struct(F.lit(0).alias("pos"), empty("struct<start:int,end:int>").alias("out"))
     return F.aggregate(tokens, zero, step, lambda acc: acc["out"])

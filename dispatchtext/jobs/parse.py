@@ -54,6 +54,14 @@ def known_entities(masked: Column, surfaces: dict[str, Column]) -> Column:
     return F.filter(F.array(*found), lambda e: e["start"] >= 0)
 
 
+PRESENT = ("recipient_name", "phone_number", "address_raw", "note")
+
+
+def presence(results: DataFrame) -> DataFrame:
+    """message_id and whether each field of a result is there; of telemetry, so no text."""
+    return results.select("message_id", *[F.col(c).isNotNull().alias(f"{c}_present") for c in PRESENT])
+
+
 def parse(rows: DataFrame, promote: bool = False) -> DataFrame:
     """prepare()'s rows with `tokens` to one result each: message_id, four fields, phone_count, status_code, error_code, error_message.
 

@@ -171,18 +171,18 @@ def t10_t11_segmented_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = msg.messages(spark, sf_dir).select("message_id", F.replace("name", F.lit(" "), F.lit("  ")).alias("raw"), F.translate("name", " ", "_").alias("seg"))
     rows = rows.withColumn("positions", tx.segmented_map(F.col("raw"), F.col("seg")))
     start = F.length("seg") - F.length(F.substring_index("seg", "_", -1))
-    return rows.select("message_id", tx.segmented_span(start, F.length("seg"), F.col("positions")).alias("s")).select("message_id", "s.start", "s.end")
+    return rows.select("message_id", tx.segmented_span(start, F.length("seg"), F.col("positions"), F.length("raw")).alias("s")).select("message_id", "s.start", "s.end")
 
 
-@query("select event_id, event_type || '-|+' || '\\n' || cast(event_id as varchar) as line from events")
+@query("select event_id, event_type || '-│┌=X' || '\\n' || cast(event_id as varchar) as line from events")
 def t12_clean_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    styled = F.concat(F.lit("\x1b[1;31m"), "event_type", F.lit("\x1b[0m─│┌↵"), F.col("event_id").cast("string"))
+    styled = F.concat(F.lit("\x1b[1;31m"), "event_type", F.lit("\x1b[0m─│┌═✗↵"), F.col("event_id").cast("string"))
     return _t(spark, sf_dir, "events").select("event_id", tx.clean_log(styled).alias("line"))
 
 
 @query("select doc_id, cast(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) as int) as n_units from documents")
 def n4_word_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("n_units"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.size(spans.word_units(F.col("text"))).alias("n_units"))
 
 
 @query("""select vec_id, ['O','B-PER','I-PER','B-ADDR','I-ADDR','B-NOTE','I-NOTE'][list_position(e, list_max(e))] as label from (select vec_id, embedding[1:7] as e from embeddings) x""")

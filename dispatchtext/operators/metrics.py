@@ -64,6 +64,21 @@ def feedback_audit(records: DataFrame) -> DataFrame:
     )
 
 
+def feedback_summary(records: DataFrame) -> DataFrame:
+    """One row: counts in all and by category, and min, mean, p50, p95, p99 and max over completed requests."""
+    kind = category(F.col("status_code"), F.col("error"))
+    ms = F.when(F.col("error").isNull() & F.col("status_code").isNotNull(), F.col("elapsed_ms"))
+    ranks = [F.expr(f"percentile_disc({p}) within group (order by ms)").alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]
+    counts = [F.count_if(F.col("kind") == k).alias(k) for k in ("success", "input_error", "server_error", "exception")]
+    return records.select(kind.alias("kind"), ms.alias("ms")).agg(F.count("*").alias("total"), *counts, F.min("ms").alias("min_ms"), F.avg("ms").alias("mean_ms"), *ranks, F.max("ms").alias("max_ms"))
+
+
+def feedback_listing(records: DataFrame, *kinds: str) -> DataFrame:
+    """The requests of these categories, with status first and unanswered ones last, by status and case."""
+    own = records.filter(category(F.col("status_code"), F.col("error")).isin(*kinds))
+    return own.orderBy(F.col("status_code").asc_nulls_last(), "case_id")
+
+
 def compare_results(expected: DataFrame, actual: DataFrame, fields: list[str]) -> DataFrame:
     """id, passed, failures: expected rows against actual rows by id. Fields count only where 200 is expected and met; null expects null."""
     a = actual.select("id", *[F.col(c).alias(f"a_{c}") for c in ("status_code", "error_code", *fields)])
@@ -80,6 +95,78 @@ def compare_results(expected: DataFrame, actual: DataFrame, fields: list[str]) -
     return rows.select("id", (F.size(failures) == 0).alias("passed"), F.array_join(failures, ",").alias("failures"))
 
 
+def compare_api(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """id, layer, outcome (pass, fail, skip, error) and failures of golden cases against answers by id.
+
+    expected: id, layer, text, http_status (null: 200), error_code (null: not tested), response (map, null: not tested),
+    forbidden_empty_strings, forbidden_response_fields. actual: id, status_code, error_code, body (map of fields), error.
+    A case without text is skipped; a request that failed, or has no answer, is an error. Fields and empty strings count on 200 only.
+    """
+    got = actual.select("id", *[F.col(c).alias(f"a_{c}") for c in ("status_code", "error_code", "body", "error")])
+    rows = expected.join(got, "id", "left")
+    ok = F.coalesce(F.col("a_status_code") == 200, F.lit(False))
+    wrong = F.map_keys(F.map_filter("response", lambda k, v: ~v.eqNullSafe(F.try_element_at("a_body", k))))
+    blank = F.map_keys(F.map_filter("a_body", lambda k, v: F.coalesce(v == "", F.lit(False))))
+    held = F.array_intersect("forbidden_response_fields", F.map_keys("a_body"))
+
+    def named(what: str, fields: Column) -> Column:
+        return F.coalesce(F.transform(F.array_sort(fields), lambda f: F.concat(F.lit(f"{what} "), f)), F.array().cast("array<string>"))
+
+    def one(test: Column, what: str) -> Column:
+        return F.when(test, F.array(F.lit(what))).otherwise(F.array().cast("array<string>"))
+
+    failures = F.concat(
+        one(~F.col("a_status_code").eqNullSafe(F.coalesce("http_status", F.lit(200))), "status"), one(F.col("error_code").isNotNull() & ~F.col("error_code").eqNullSafe(F.col("a_error_code")), "error code"),
+        F.when(ok, named("field", wrong)).otherwise(F.array().cast("array<string>")), F.when(ok & F.coalesce("forbidden_empty_strings", F.lit(False)), named("empty", blank)).otherwise(F.array().cast("array<string>")), named("forbidden", held),
+    )
+    outcome = F.when(F.col("text").isNull(), "skip").when(F.col("a_error").isNotNull() | F.col("a_status_code").isNull(), "error").when(F.size("failures") == 0, "pass").otherwise("fail")
+    return rows.withColumn("failures", failures).select("id", "layer", outcome.alias("outcome"), "failures")
+
+
+def compare_phones(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """id, layer, outcome (pass, fail, error) and failures of golden phone cases by id.
+
+    expected: id, layer, phone_count (null: 0), phone_number, masked_text (null or empty: not tested), candidates (accepted,
+    normalized, reject_reason, selected; null: none). actual: the same columns. Candidates are compared by position as far as both
+    go; a null normalized or selected is not tested.
+    """
+    fields = ("phone_count", "phone_number", "masked_text", "candidates")
+    got = actual.select("id", F.lit(True).alias("found"), *[F.col(c).alias(f"a_{c}") for c in fields])
+    rows = expected.join(got, "id", "left")
+    none = F.array().cast("array<string>")
+    own, other = F.coalesce("candidates", F.expr("slice(a_candidates, 1, 0)")), F.col("a_candidates")
+
+    def pair(z: Column, i: Column) -> Column:
+        e, a = z["e"], z["a"]
+        tests = [
+            F.when(~e["accepted"].eqNullSafe(a["accepted"]), F.lit("accepted")), F.when(e["normalized"].isNotNull() & ~e["normalized"].eqNullSafe(a["normalized"]), F.lit("normalized")),
+            F.when(~e["reject_reason"].eqNullSafe(a["reject_reason"]), F.lit("reject_reason")), F.when(e["selected"].isNotNull() & ~e["selected"].eqNullSafe(a["selected"]), F.lit("selected")),
+        ]
+        return F.transform(F.array_compact(F.array(*tests)), lambda t: F.concat(F.lit("candidate "), i.cast("string"), F.lit(" "), t))
+
+    n = F.least(F.size(own), F.size(other))
+    zipped = F.arrays_zip(F.slice(own, 1, n).alias("e"), F.slice(other, 1, n).alias("a"))
+    whole = F.array_compact(
+        F.array(
+            F.when(~F.coalesce("phone_count", F.lit(0)).eqNullSafe(F.col("a_phone_count")), F.lit("phone_count")), F.when(~F.col("phone_number").eqNullSafe(F.col("a_phone_number")), F.lit("phone_number")),
+            F.when((F.coalesce("masked_text", F.lit("")) != "") & ~F.col("masked_text").eqNullSafe(F.col("a_masked_text")), F.lit("masked_text")), F.when(F.size(own) != F.size(other), F.lit("candidates")),
+        )
+    )
+    failures = F.when(F.col("found"), F.concat(whole, F.flatten(F.transform(zipped, pair)))).otherwise(none)
+    outcome = F.when(F.col("found").isNull(), "error").when(F.size("failures") == 0, "pass").otherwise("fail")
+    return rows.withColumn("failures", failures).select("id", "layer", outcome.alias("outcome"), "failures")
+
+
+def outcome_totals(results: DataFrame, key: str = "layer") -> DataFrame:
+    """Passed, failed, skipped and broken cases by key, and in all (key null)."""
+    return results.rollup(key).agg(F.count("*").alias("total"), *[F.count_if(F.col("outcome") == o).alias(f"n_{o}") for o in ("pass", "fail", "skip", "error")])
+
+
+def failed_cases(results: DataFrame) -> DataFrame:
+    """id and outcome of the cases that failed or broke, by id."""
+    return results.filter(F.col("outcome").isin("fail", "error")).select("id", "outcome").orderBy("id")
+
+
 def pass_totals(results: DataFrame, key: str) -> DataFrame:
     """Passed and failed by key, and in all (key null)."""
     return results.rollup(key).agg(F.count_if("passed").alias("n_passed"), F.count_if(~F.col("passed")).alias("n_failed"))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.spans import LABELS
+from ..functions.text import trim
 
 EXAMPLE = "id string, text string, entities array<struct<start:int,end:int,label:string>>, source string, variation string, model string, created_at string"
 CASE = (
@@ -36,10 +37,17 @@ def write_splits(examples: DataFrame, path: str) -> None:
     examples.write.partitionBy("split").json(path)
 
 
-def with_provenance(examples: DataFrame, provider: str, model: str) -> DataFrame:
-    """Stable ids from response, ordinal and text, so that retries write the same rows."""
+def with_provenance(examples: DataFrame, provider: str, model: str, created_at: str | None = None) -> DataFrame:
+    """id, source, model, variation (kept where there is one) and created_at (an ISO time, null: now) of generated examples.
+
+    Ids come from response, ordinal and text, so that retries write the same rows.
+    """
     digest = F.sha2(F.concat_ws("|", F.col("response_id").cast("string"), F.col("ordinal").cast("string"), "text"), 256)
-    return examples.withColumns({"id": F.concat(F.lit("synth-"), F.substring(digest, 1, 8)), "source": F.lit(f"{provider}_synth"), "model": F.lit(model)})
+    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+    kind = F.col("variation").cast("string") if "variation" in examples.columns else F.lit(None).cast("string")
+    return examples.withColumns(
+        {"id": F.concat(F.lit("synth-"), F.substring(digest, 1, 8)), "source": F.lit(f"{provider}_synth"), "model": F.lit(model), "variation": kind, "created_at": F.lit(created_at) if created_at else now}
+    )
 
 
 def append_examples(examples: DataFrame, path: str) -> None:
@@ -54,11 +62,23 @@ def read_cases(spark: SparkSession, path: str, array: bool = False, layer: str |
         cases = cases.filter(F.col("layer") == layer)
     if ids:
         cases = cases.filter(F.col("id").isin(ids))
-    return cases.withColumn("text", F.coalesce("input.text", F.expr("repeat(input.text_factory.character, input.text_factory.count)")))
+    return cases.withColumn("text", case_text(F.col("input.text"), F.col("input.text_factory.character"), F.col("input.text_factory.count")))
+
+
+def case_text(text: Column, character: Column, count: Column) -> Column:
+    """The text of a case, or a character so many times where it has none."""
+    return F.coalesce(text, F.call_function("repeat", character, count))
+
+
+def runnable(cases: DataFrame) -> DataFrame:
+    """Cases whose text is not blank."""
+    return cases.filter(F.length(trim(F.col("text"))) > 0)
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
-    reports.write.partitionBy("mode").json(path)
+    """One JSON folder per mode below path/by_mode, and all modes together in path/combined."""
+    reports.write.partitionBy("mode").json(f"{path}/by_mode")
+    reports.write.json(f"{path}/combined")
 
 
 def label_map(spark: SparkSession) -> DataFrame:
