@@ -2,8 +2,9 @@
 
 Every word scores each learned language by its letter groups. The script of the word narrows the candidates
 to languages that were seen in that script. Viterbi with a cost per change of language labels spans; the
-language of most letters is the document's. Training uses at most max_train documents per language, the
-first by a hash of the key; texts over MAX_TRAIN_CHARS are not trained on. Prediction reads whole texts.
+language of most letters is the document's. Training takes about max_train documents per language, by a hash of
+the key, and counts letter groups on Spark; texts over MAX_TRAIN_CHARS are not trained on. There is no bound on the
+number of languages. Prediction reads whole texts.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, slices, table
+from .common import crc_mod, slices, table, tidy
 from .words import batch_words
 
-MAX_TRAIN, MAX_TRAIN_CHARS, MAX_LANGS = 1000, 200_000, 200
+MAX_TRAIN, MAX_TRAIN_CHARS = 1000, 200_000
+#: Bytes of word scores kept while a task runs; the cache starts anew beyond that (results do not change).
+CACHE_BYTES = 64 << 20
 GRAM, MIN_COUNT = 3, 2
 SWITCH = 12.0
 CLIP = 8.0
@@ -69,12 +72,12 @@ class Model:
         self.letters = np.empty(0, np.int32)
 
     def _learn(self, words: list[str]) -> None:
-        new = [w for w in words if w not in self.rows]
+        new = [w for w in words if w and w not in self.rows]
         if not new:
             return
-        if len(self.rows) > 500_000:
+        if len(self.rows) * (120 + 4 * len(self.langs)) > CACHE_BYTES:
             self.prepare()
-            new = words
+            new = [w for w in words if w]
         unknown, known = len(self.logs) - 1, self.grams
         scripts = [script(w) for w in new]
         groups = [_grams(w) for w in new]
@@ -98,7 +101,7 @@ class Model:
             return
         words, index, bounds = batch_words(texts)
         self._learn(words)
-        rows = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))[index] if words else np.empty(0, np.int64)
+        rows = np.fromiter((self.rows.get(w, -1) for w in words), np.int64, len(words))[index] if words else np.empty(0, np.int64)
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             yield self.table[rows[a:b]], self.letters[rows[a:b]]
 
@@ -142,45 +145,70 @@ def viterbi(score: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     return np.array(path[::-1])
 
 
-def fit(samples: list[tuple[str, str]]) -> Model:
-    """A model from (language, text) pairs."""
-    words: dict[str, Counter] = {}
-    for lang, text in samples:
-        words.setdefault(lang, Counter()).update(text.lower().split())
-    langs = sorted(words)
-    counts: dict[str, np.ndarray] = {}
-    scripts: dict[str, np.ndarray] = {}
-    for i, lang in enumerate(langs):
-        for w, n in words[lang].items():
-            s = script(w)
-            if s is None:
-                continue
-            scripts.setdefault(s, np.zeros(len(langs)))[i] += n
-            for g in _grams(w):
-                if g not in counts:
-                    counts[g] = np.zeros(len(langs))
-                counts[g][i] += n
-    kept = sorted(g for g, c in counts.items() if c.sum() >= MIN_COUNT)
-    table_ = np.array([counts[g] for g in kept] + [np.zeros(len(langs))]).reshape(-1, max(len(langs), 1)) + 0.5
+GRAMS, SCRIPT = 0, 1
+COUNTS = "lang string, kind int, item string, n long"
+
+
+def count_items(lang: str, word: str, n: int) -> list[tuple[str, int, str, int]]:
+    """COUNTS of one word that occurs n times: its letter groups and its script; none without letters."""
+    s = script(word)
+    return [] if s is None else [(lang, SCRIPT, s, n), *((lang, GRAMS, g, n) for g in _grams(word))]
+
+
+def fit_counts(counts: list[tuple[str, int, str, int]], langs: list[str]) -> Model:
+    """A model from COUNTS, each language and item once."""
+    langs = sorted(langs)
+    at = {lang: i for i, lang in enumerate(langs)}
+    held: tuple[dict[str, np.ndarray], dict[str, np.ndarray]] = ({}, {})
+    for lang, kind, item, n in counts:
+        held[kind].setdefault(item, np.zeros(len(langs), np.float32))[at[lang]] += n
+    grams, scripts = held
+    kept = sorted(g for g, c in grams.items() if c.sum() >= MIN_COUNT)
+    table_ = np.array([grams[g] for g in kept] + [np.zeros(len(langs))]).reshape(-1, max(len(langs), 1)) + 0.5
     logs = np.log(table_ / table_.sum(0))
-    share = {s: n / max(n.sum(), 1) for s, n in scripts.items()}
-    allowed = {s: [bool(scripts[s][i] > 0.01 * sum(x[i] for x in scripts.values())) for i in range(len(langs))] for s in share}
+    total = sum(scripts.values()) if scripts else np.zeros(len(langs))
+    allowed = {s: [bool(x) for x in c > 0.01 * total] for s, c in scripts.items()}
     return Model(langs, {g: i for i, g in enumerate(kept)}, logs, {s: a for s, a in allowed.items() if any(a)})
 
 
+def fit(samples: list[tuple[str, str]]) -> Model:
+    """A model from (language, text) pairs, in one place."""
+    words = Counter((lang, w) for lang, text in samples for w in text.lower().split())
+    total: Counter = Counter()
+    for (lang, w), n in words.items():
+        for *item, k in count_items(lang, w, n):
+            total[tuple(item)] += k
+    return fit_counts([(*item, n) for item, n in total.items()], list({lang for lang, _ in samples}))
+
+
 def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
-    """Learn from text and non-null lang of documents whose crc32(doc_id as text) mod 5 is not 0."""
+    """Learn from text and non-null lang of documents whose crc32(doc_id as text) mod 5 is not 0.
+
+    One scan counts documents per language, a second takes those below a hash threshold that lets about max_train
+    of a language through. What reaches the driver is one count per language and letter group.
+    """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(
         (crc_mod("doc_id", HELD_OUT_MOD) != 0) & F.col("lang").isNotNull() & (F.length("text") <= MAX_TRAIN_CHARS)
     )
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()  # the commonest MAX_LANGS codes
-    samples = []
-    keyed = rows.withColumn("h", F.xxhash64("doc_id", "text"))
-    for r in found:
-        own = keyed.filter(F.col("lang") == r["lang"])
-        cut = own.select("h").orderBy("h").limit(max_train).agg(F.max("h").alias("h")).first()["h"]
-        samples += sorted((r["lang"], x["text"]) for x in own.filter(F.col("h") <= cut).limit(max_train).select("text").collect())
-    return fit(samples)
+    found = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not found:
+        return fit([])
+    most = docs.sparkSession.createDataFrame([(lang, min(1.0, max_train / n)) for lang, n in found.items()], "lang string, rate double")
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    sample = rows.join(F.broadcast(most), "lang").filter(place < F.col("rate"))  # one row a language
+    words = sample.select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).filter("word <> ''").groupBy("lang", "word").count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total: Counter = Counter()
+            for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "count"))):
+                for *item, k in count_items(lang, word, n):
+                    total[tuple(item)] += k
+            cols = list(zip(*((*item, n) for item, n in total.items()))) or [()] * 4
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.int64()))], names=["lang", "kind", "item", "n"])
+
+    counts = words.mapInArrow(run, COUNTS).groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+    return fit_counts([tuple(r) for r in counts.collect()], list(found))
 
 
 def predict(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
@@ -193,7 +221,7 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model.prepare()
-        for part in slices(batches, "text", 8 << 20):
+        for part in slices(batches, "text"):
             langs, scores, spans = [], [], []
             for score, letters in model.word_scores(part.column("text")):
                 lang, value, path = model.label(score, letters, switch)
@@ -203,7 +231,7 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
             yield pa.record_batch([part.column("doc_id"), part.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, pa.string())], names=["doc_id", "held_out", "lang_pred", "score", "spans"])
 
     rows = docs.select(F.col("doc_id").cast("long"), (crc_mod("doc_id", HELD_OUT_MOD) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, spans string")
+    return rows.mapInArrow(tidy(run, model.prepare), "doc_id long, held_out boolean, lang_pred string, score double, spans string")
 
 
 def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -211,10 +239,10 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model.prepare()
-        for part in slices(batches, "text", 8 << 20):
+        for part in slices(batches, "text"):
             yield part.filter(pa.array([model.label(s, n)[1] >= least for s, n in model.word_scores(part.column("text"))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run, model.prepare), docs.schema)
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_path
 from . import flac
-from .common import new_path, slices, table
+from .common import slices, table
 
 SLICE = 1 << 20
 

@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, table
+from .common import materialize, slices, table, tidy
 from .tokens import coder
 
 CAPACITY = 2048
 END_ID = 0
 GROUP_PIECES = 50_000
-TEXT_SLICE = 8 << 20
+TEXT_SLICE = 4 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -103,7 +103,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Dat
             )
             row += len(doc)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"{PIECES}, row long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run, lambda: coder(tokenizer, True).clear()), f"{PIECES}, row long")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:

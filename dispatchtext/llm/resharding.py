@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, new_path, table
+from ..sources.shared import new_path
+from .common import materialize, table
 
 OLD_SHARDS, NEW_SHARDS = 6, 8
 ROWS_PER_BLOCK = 100_000

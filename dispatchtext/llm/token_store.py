@@ -20,13 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, slices, table
+from ..sources.shared import new_path
+from .common import slices, table, tidy
 from .tokens import coder
 
 END_ID = 0
 #: A shard is closed once it holds this many ids or documents; one larger document makes a shard of its own.
 SHARD_IDS, SHARD_DOCS = 4 << 20, 1 << 16
-TEXT_SLICE = 8 << 20
+TEXT_SLICE = 4 << 20
 
 STORE = (
     "part int, seq int, before long, n_docs int, n_ids long, width int, min_key long, max_key long, "
@@ -153,7 +154,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, parts: int | None =
             yield close()
 
     ordered = docs.repartitionByRange(parts, "key", F.xxhash64("text")).sortWithinPartitions("key", F.xxhash64("text"), "text")
-    ordered.mapInArrow(run, STORE).write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(tidy(run, lambda: coder(tokenizer, False).clear()), STORE).write.option("compression", "zstd").parquet(path)
     return open_store(docs.sparkSession, path)
 
 

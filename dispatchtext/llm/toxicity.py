@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, slices, table
+from .common import crc_mod, slices, table, tidy
 from .words import batch_words
 
 MAX_TRAIN, MAX_TRAIN_CHARS = 2500, 200_000
@@ -35,6 +35,8 @@ GRAMS, MIN_DOCS, MIN_SHARE, LIFT, CHANCE = (5, 6, 7, 8), 3, 0.02, 10.0, 1e-4
 #: Clusters of the training documents; hash buckets of the bounds on document frequencies.
 CLUSTERS, BUCKETS = 8, 1 << 21
 STRETCH = 2
+#: Words whose distances are kept while a task runs; the cache starts anew beyond that (results do not change).
+MAX_KNOWN = 150_000
 #: Bytes saved from which a word adds to its document's sum.
 SURE = 6
 ORDINARY_BYTES, TOXIC_BYTES = 1 << 10, 24 << 10
@@ -238,7 +240,7 @@ class Model:
                 got = max(0, a - b)
             else:
                 got = 0
-            if len(self.known) > 500_000:
+            if len(self.known) > MAX_KNOWN:
                 self.known.clear()
             self.known[word] = got
         return got
@@ -323,11 +325,15 @@ def fit(toxic: list[list[str]], ordinary: list[list[str]]) -> Model:
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """Fit on labelled documents whose crc32(doc_id as text) mod 4 is not 2, at most max_train per class."""
     marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter((crc_mod("doc_id", HELD_OUT_MOD) != HELD_OUT) & F.col("toxic").isin(0, 1)).distinct()
+    held = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.length("text") <= MAX_TRAIN_CHARS)
     words = F.array_distinct(F.split(F.lower("text"), r"\s+")).alias("words")
     parts = []
     for label in (1, 0):
-        kept = marked.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).select("doc_id")
+        # The least hashes are below a threshold that lets twice as many through: tasks send few keys, however many they are.
+        most = min(1.0, 2.0 * max_train / max(held.get(label, 0), 1))
+        own = marked.filter((F.col("toxic") == label) & (F.xxhash64("doc_id") <= int((2 * most - 1) * (1 << 63)) - (most == 1.0)))
+        kept = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).select("doc_id")
         rows = texts.join(F.broadcast(kept), "doc_id").limit(max_train)  # at most max_train keys
         parts.append([[w for w in r["words"] if w] for r in sorted(rows.select("doc_id", words).collect(), key=lambda r: (r["doc_id"], r["words"]))])
     return fit(*parts)
@@ -342,12 +348,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model.prepare()
-        for part in slices(batches, "text", 8 << 20):
+        for part in slices(batches, "text"):
             scores = model.scores(model.features(part.column("text")))
             yield pa.record_batch([part.column("doc_id"), part.column("held_out"), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long"), (crc_mod("doc_id", HELD_OUT_MOD) == HELD_OUT).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(run, model.prepare), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -355,10 +361,10 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model.prepare()
-        for part in slices(batches, "text", 8 << 20):
+        for part in slices(batches, "text"):
             yield part.filter(pa.array(model.scores(model.features(part.column("text"))) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run, model.prepare), docs.schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

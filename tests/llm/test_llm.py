@@ -80,10 +80,78 @@ def test_simhash_components(spark, docs, none, bucket):
     assert simhash.near_duplicates(none).count() == 0
 
 
-def test_deduplicate_keeps_one_of_each(spark, docs):
-    kept = simhash.deduplicate(docs).collect()
-    groups = {(r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
-    assert sorted(r["doc_id"] for r in kept) == sorted(groups)
+def test_links_across_the_highest_bit(spark):
+    """Pairs that differ in bit 63 and others: numbers are signed in the table."""
+    base = 0x123456789ABCDEF
+    fps = [base, base ^ 1 << 63, base ^ 1 << 63 ^ 5, base ^ (1 << 64) - 1]
+    rows = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)], "node long, fp0 long")
+    links = {frozenset(r) for r in simhash.close_links(rows).collect()}
+    assert links <= {frozenset(x) for x in ((0, 1), (1, 2), (0, 2))} and {i for x in links for i in x} == {0, 1, 2}
+
+
+def test_wide_fingerprints():
+    rnd = random.Random(11)
+    for text in [None, "", "one", "a b c d e", " ".join(rnd.choice(WORDS) for _ in range(300))]:
+        parts = (text or "").split()
+        shingles = [" ".join(parts[i : i + 5]) for i in range(len(parts) - 4)] or ([" ".join(parts)] if parts else [])
+        hashes = [xxhash.xxh3_128_intdigest(s.encode(), 42) for s in shingles]
+        want = sum(1 << b for b in range(128) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        low, high = simhash.fingerprint(text, 5, wide=True)
+        assert low | high << 64 == want
+
+
+def brute_survivors(rows, radius):
+    """Rows that stay, by comparing all pairs of wide fingerprints; radius bits at most differ in some word."""
+    fps = [simhash.fingerprint(t, 5, wide=True) for _, t in rows]
+
+    def linked(a, b):
+        bits = [(x ^ y).bit_count() for x, y in zip(a, b)]
+        return sum(bits) <= simhash.NEAR_LIMIT and min(bits) <= radius
+
+    root = list(range(len(rows)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if linked(fps[i], fps[j]):
+                root[top(i)] = top(j)
+    groups = {}
+    for i, (doc, _) in enumerate(rows):
+        groups.setdefault(top(i), []).append(doc)
+    return {min(d for d in g if d is not None) if any(d is not None for d in g) else -1 for g in groups.values()}
+
+
+@pytest.mark.parametrize("bucket", [32768, 4])
+def test_deduplicate_keeps_one_of_each(spark, none, bucket):
+    rnd = random.Random(3)
+    rows = [(i, t) for i, t, *_ in make_docs()]
+    for i in range(12):  # groups of edited copies
+        words = [rnd.choice(WORDS) + str(rnd.randrange(60)) for _ in range(150)]
+        for j in range(6):
+            own = list(words)
+            for _ in range(j):
+                own[rnd.randrange(150)] = "edited" + str(rnd.randrange(999))
+            rows.append((1000 + 10 * i + j, " ".join(own)))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "clash", 9, "clash") for i, t in rows], SCHEMA)
+    kept = simhash.deduplicate(docs, max_bucket=bucket)
+    assert kept.columns == docs.columns
+    got = [-1 if r["doc_id"] is None else r["doc_id"] for r in kept.collect()]
+    assert len(got) == len(set(got))
+    # No pair within the radius is missed; pairs beyond it may share a key too, but no pair beyond the limit is linked.
+    assert brute_survivors(rows, 128) <= set(got) <= brute_survivors(rows, simhash.NEAR_RADIUS)
+    assert simhash.deduplicate(none).count() == 0
+
+
+def test_covering_masks_cover_every_pair_within_the_radius():
+    masks = simhash.covering_masks(radius=5)
+    rnd = random.Random(2)
+    for _ in range(3000):
+        bits = sum(1 << b for b in rnd.sample(range(64), 5))
+        assert any(m & bits == 0 for m in masks)
 
 
 TRICKY = ["a   b  c\n d \n\n e", "  x", "x  ", "\n", "it's I'LL don't", "é b　x", "日本 123 45", "ΣΑΣ ς", "a\t b\x1c c\x85 d", "İ ſ", "<|endoftext|> hi", "", " ", "\x00 a \x00b", "😀 a"]
@@ -180,6 +248,20 @@ def test_language_on_held_out(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in rows) / len(rows) > 0.95
 
 
+def test_training_on_spark_equals_training_in_one_place(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    a = language.train(docs, 10**9)
+    rows = docs.select("lang", "text", (language.crc_mod("doc_id", 5) != 0).alias("own")).filter("own and lang is not null and length(text) <= 200000").collect()
+    b = language.fit([(r["lang"], r["text"]) for r in rows])
+    assert (a.langs, a.grams, a.scripts) == (b.langs, b.grams, b.scripts) and np.allclose(a.logs, b.logs)
+
+
+def test_many_languages_are_all_learned(spark):
+    rows = [(i, f"{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}q" * 3 + " ", f"l{i % 300:03}") for i in range(3000)]
+    model = language.train(spark.createDataFrame([(i, t * 4, lang) for i, t, lang in rows], "doc_id long, text string, lang string"))
+    assert len(model.langs) == 300
+
+
 def test_language_edges(spark, docs, none):
     model = language.fit([("en", "the cat and the dog"), ("de", "der hund und die katze")])
     rows = {(r["doc_id"], r["lang_pred"]) for r in language.predict(docs, model).collect()}
@@ -372,10 +454,3 @@ def test_quality(spark, docs, none):
     assert len(rows) == docs.count()
     assert all(not (r["base_failed"] and r["kept"]) for r in rows) and all(r["base_failed"] for r in rows if r["n_words"] < 20)
     assert quality.quality(none).count() == 0
-
-
-def test_pipeline_on_small_tables(spark):
-    import corpus_pipeline
-
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 50
