@@ -1,9 +1,10 @@
 """FLAC streams of 8-bit mono samples: a vectorised encoder and decoder over many frames at once.
 
-Every frame holds BLOCK samples and has its own seek point, so any frame can be decoded alone. The encoder
-picks constant, verbatim or a fixed linear predictor with Rice-coded residuals; the decoder also reads
-quantised linear predictors (LPC) and partitioned Rice parameters. Both work on lanes: step t handles
-sample t of all frames of a chunk.
+Bytes are unsigned 8-bit samples, as in a WAV file, so any FLAC reader gives the payload back. Every frame holds
+BLOCK samples and has its own seek point, so any frame can be decoded alone. The encoder picks constant, verbatim
+or a fixed linear predictor with Rice-coded residuals; the decoder also reads quantised linear predictors (LPC),
+partitioned Rice parameters, escaped partitions and wasted bits. Both work on lanes: step t handles sample t of all
+frames of a chunk; frames with escapes or wasted bits, which are rare, are read one by one.
 """
 
 from __future__ import annotations
@@ -23,15 +24,8 @@ CHUNK, LANES = 1024, 4096
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 
 
-#: A byte's sample: bytes in this order, then all others by value, take the samples 0, -1, 1, -2, 2, ...
-#: Frequent bytes of text thus have small samples, which Rice codes store in few bits.
-_FREQUENT = b" etaoinrshdlu\xffcmbgw.,\xc3fpvyqTI!\nE" + bytes((0xA9, 0xB3, 0xBC, 0xA8, 0xB1, 0xB6, 0xA4, 0xA7, 0xAA, 0x9F))
-_ORDER = np.array([*_FREQUENT, *sorted(set(range(256)) - set(_FREQUENT))], np.int16)
-_RANKS = np.arange(256, dtype=np.int16)
-TO_SAMPLE = np.empty(256, np.int16)
-TO_SAMPLE[_ORDER] = (_RANKS >> 1) ^ -(_RANKS & 1)
-FROM_SAMPLE = np.empty(256, np.uint8)  # index: sample + 128
-FROM_SAMPLE[TO_SAMPLE + 128] = np.arange(256)
+#: What a byte is above its signed sample.
+MIDDLE = 128
 
 
 @cache
@@ -152,13 +146,13 @@ def encode_frames(x: np.ndarray, numbers: np.ndarray) -> list[bytes]:
 
 
 def encode(payloads: list[bytes]) -> list[bytes]:
-    """A FLAC stream of each payload; sizes are positive multiples of BLOCK. Bytes become samples by TO_SAMPLE."""
+    """A FLAC stream of each payload; sizes are positive multiples of BLOCK."""
     frames: list[list[bytes]] = [[] for _ in payloads]
     owners = np.repeat(np.arange(len(payloads)), [len(p) // BLOCK for p in payloads])
     numbers = np.concatenate([np.arange(len(p) // BLOCK) for p in payloads]) if payloads else np.empty(0, np.int64)
     flat = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, BLOCK)
     for i in range(0, len(flat), CHUNK):
-        made = encode_frames(TO_SAMPLE[flat[i : i + CHUNK]], numbers[i : i + CHUNK])
+        made = encode_frames(flat[i : i + CHUNK].astype(np.int16) - MIDDLE, numbers[i : i + CHUNK])
         for owner, frame in zip(owners[i : i + CHUNK].tolist(), made):
             frames[owner].append(frame)
     return [_stream(p, f) for p, f in zip(payloads, frames)]
@@ -166,7 +160,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
 
 def _stream(payload: bytes, frames: list[bytes]) -> bytes:
     sizes = np.fromiter(map(len, frames), np.int64, len(frames))
-    signed = TO_SAMPLE[np.frombuffer(payload, np.uint8)].astype(np.int8).tobytes()
+    signed = (np.frombuffer(payload, np.uint8) ^ np.uint8(MIDDLE)).tobytes()
     info = struct.pack(">HH", BLOCK, BLOCK) + int(sizes.min()).to_bytes(3, "big") + int(sizes.max()).to_bytes(3, "big")
     info += (RATE << 44 | 0 << 41 | 7 << 36 | len(payload)).to_bytes(8, "big") + hashlib.md5(signed).digest()
     points = np.zeros(len(frames), np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]))
@@ -218,18 +212,18 @@ class _Bits:
         return (self.word[at >> 3].astype(np.int64) >> shift) & ((1 << np.asarray(width, np.int64)) - 1)
 
 
-def _rice(bits: _Bits, at: np.ndarray, order: np.ndarray, partition: int, wide: bool) -> np.ndarray:
-    """Residuals of lanes with the same partition order (same predictor order too, if partitioned)."""
+def _rice(bits: _Bits, at: np.ndarray, order: np.ndarray, partition: int, wide: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Residuals of lanes with the same partition order (same predictor order too, if partitioned), and which lanes hold an escape."""
     steps = BLOCK - int(order.min(initial=0))
     out = np.zeros((steps, len(at)), np.int64)
     span, first, size = BLOCK >> partition, int(order[0]), 5 if wide else 4
     limit = 8 * (len(bits.word) - 1)
+    escaped = np.zeros(len(at), bool)
     for t in range(steps):
         if t == 0 or partition and (t + first) % span == 0:
             k = bits.take(at, size)
             at = at + size
-            if (k == (1 << size) - 1).any():
-                raise ValueError("escaped Rice partitions are not read")
+            escaped |= k == (1 << size) - 1
             mask = (np.int64(1) << k) - 1
         word = bits.word[at >> 3] << (24 + (at & 7)).astype(np.uint64)  # at least 33 bits, from the top
         q = 64 - np.frexp(word.astype(np.float64))[1].astype(np.int64)
@@ -249,7 +243,61 @@ def _rice(bits: _Bits, at: np.ndarray, order: np.ndarray, partition: int, wide:
     x = np.zeros((len(at), BLOCK), np.int64)
     for o in np.unique(order):
         x[order == o, o:] = out[: BLOCK - o, order == o].T
-    return x
+    return x, escaped
+
+
+def decode_alone(subframe: bytes) -> list[int]:
+    """Samples of one subframe of BLOCK samples, bit by bit: every kind that the format knows."""
+    bits, at = int.from_bytes(subframe, "big"), 8 * len(subframe)
+
+    def take(n: int) -> int:
+        nonlocal at
+        at -= n
+        if at < 0:
+            raise ValueError("a subframe ends early")
+        return bits >> at & ((1 << n) - 1)
+
+    def signed(n: int) -> int:
+        v = take(n)
+        return v - (1 << n) if n and v >> (n - 1) else v
+
+    def unary() -> int:
+        n = 0
+        while not take(1):
+            n += 1
+        return n
+
+    take(1)
+    kind = take(6)
+    wasted = unary() + 1 if take(1) else 0
+    width = 8 - wasted
+    if kind == 0:
+        x = [signed(width)] * BLOCK
+    elif kind == 1:
+        x = [signed(width) for _ in range(BLOCK)]
+    else:
+        order = kind - 31 if kind >= 32 else kind - 8
+        if not 0 <= order <= (32 if kind >= 32 else 4):
+            raise ValueError("a reserved kind of subframe")
+        x = [signed(width) for _ in range(order)]
+        coefs, shift = FIXED[order] if kind < 32 else (), 0
+        if kind >= 32:
+            precision, shift = take(4) + 1, signed(5)
+            coefs = [signed(precision) for _ in range(order)]
+        size = 5 if take(2) else 4
+        parts = 1 << take(4)
+        for part in range(parts):
+            k = take(size)
+            raw = take(5) if k == (1 << size) - 1 else None
+            for _ in range(BLOCK // parts - (0 if part else order)):
+                if raw is None:
+                    u = unary() << k
+                    u |= take(k)
+                    r = u >> 1 ^ -(u & 1)
+                else:
+                    r = signed(raw)
+                x.append(r + (sum(c * v for c, v in zip(coefs, x[: -order - 1 : -1])) >> shift if order else 0))
+    return [v << wasted for v in x]
 
 
 def decode_frames(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -273,14 +321,13 @@ def decode_frames(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
             raise ValueError("a frame header's CRC-8 is wrong")
     sub = starts + head
     kind = flat[sub].astype(np.int64) >> 1
-    if (flat[sub] & 1).any():
-        raise ValueError("wasted bits are not read")
-    constant, verbatim = kind == 0, kind == 1
+    alone = (flat[sub] & 1) == 1  # wasted bits
+    constant, verbatim = (kind == 0) & ~alone, (kind == 1) & ~alone
     x[constant] = flat[sub[constant] + 1].view(np.int8)[:, None]
     if verbatim.any():
         x[verbatim] = flat[(sub[verbatim] + 1)[:, None] + np.arange(BLOCK)].view(np.int8)
     order = np.where(kind >= 32, kind - 31, kind - 8)
-    coded = ~constant & ~verbatim
+    coded = ~constant & ~verbatim & ~alone
     if coded.any():
         bits = _Bits(flat)
         at = 8 * (sub + 1) + 8 * np.where(coded, order, 0)
@@ -299,7 +346,8 @@ def decode_frames(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
         joint = method * 16 + partition + np.where(partition > 0, 64 * order[lanes], 0)
         for value in np.unique(joint):
             some = lanes[joint == value]
-            residual = _rice(bits, at[some] + 6, order[some], int(value) % 16, bool(value // 16 % 4))
+            residual, escaped = _rice(bits, at[some] + 6, order[some], int(value) % 16, bool(value // 16 % 4))
+            alone[some[escaped]] = True
             for o in np.unique(order[some]):
                 own = order[some] == o
                 rows, r = some[own], residual[own]
@@ -315,11 +363,13 @@ def decode_frames(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
                     x[rows] = r
                 else:
                     x[rows] = _predict(warm, r, coefs[rows, :o], shift[rows])
+    for i in np.flatnonzero(alone).tolist():
+        x[i] = decode_alone(flat[sub[i] : ends[i] - 2].tobytes())
     return x
 
 
 def _bytes(samples: np.ndarray) -> np.ndarray:
-    return FROM_SAMPLE[samples.astype(np.int16) + 128]
+    return samples.astype(np.int8).view(np.uint8) ^ np.uint8(MIDDLE)
 
 
 def decode(streams: list[bytes]) -> list[bytes]:

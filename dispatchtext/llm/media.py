@@ -1,4 +1,4 @@
-"""Media columns: texts as losslessly compressed 8-bit audio (FLAC), PCM blocks with sample offsets, features."""
+"""Media columns: texts as losslessly compressed 8-bit audio (FLAC), decoded PCM blocks with sample offsets, features."""
 
 from __future__ import annotations
 
@@ -16,6 +16,8 @@ from . import flac
 from .common import slices, table
 
 SLICE = 1 << 20
+#: Documents of one batch whose PCM is held at a time.
+ROWS = 256
 
 
 def encode_media(docs: DataFrame) -> DataFrame:
@@ -41,37 +43,57 @@ def feature(samples: np.ndarray) -> str:
     return f"mean={1000 * int(x.sum()) // len(x)};rms={int(1000 * np.sqrt(int((x * x).sum()) / len(x)))};zcr={1000 * changes // len(x)}"
 
 
-def media_digests(media: DataFrame) -> DataFrame:
-    """Decode stored streams (doc_id, n_bytes, media) and digest payload and stored form."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+PCM = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, blocks array<struct<sample_offset:long,pcm:binary>>"
+
+
+def pcm_blocks(media: DataFrame) -> DataFrame:
+    """PCM of each stream (doc_id, n_bytes, media): blocks in order, each with the offset of its first sample, and digests of the stream.
+
+    Frame checksums and the stream's MD5 are verified; a stream that is not whole stops the job.
+    """
+    block = pa.list_(pa.struct([("sample_offset", pa.int64()), ("pcm", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "media", SLICE):
             streams = part.column("media").to_pylist()
-            rows = [
-                (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(s), hashlib.sha256(s).hexdigest(), feature(flac.TO_SAMPLE[np.frombuffer(p, np.uint8)]))
-                for s, p in zip(streams, flac.decode(streams))
-            ]
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.record_batch([part.column("doc_id"), part.column("n_bytes"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=[c.split()[0] for c in schema.split(", ")])
+            blocks = [[{"sample_offset": i, "pcm": p[i : i + flac.BLOCK]} for i in range(0, len(p), flac.BLOCK)] for p in flac.decode(streams)]
+            sizes, digests = pa.array([len(s) for s in streams], pa.int64()), pa.array([hashlib.sha256(s).hexdigest() for s in streams])
+            yield pa.record_batch([part.column("doc_id"), part.column("n_bytes"), sizes, digests, pa.array(blocks, block)], names=["doc_id", "n_bytes", "media_bytes", "media_sha256", "blocks"])
 
-    return media.mapInArrow(run, schema)
+    return media.mapInArrow(run, PCM)
 
 
-def pcm_blocks(media: DataFrame) -> DataFrame:
-    """One row per frame: doc_id, sample_offset, pcm (the payload bytes of its samples)."""
+def samples(pcm: DataFrame, first: int, count: int) -> DataFrame:
+    """doc_id and the bytes [first, first + count) of each document's samples: only the blocks that hold them are joined."""
+    held = F.filter("blocks", lambda b: (b["sample_offset"] + flac.BLOCK > first) & (b["sample_offset"] < first + count))
+    joined = F.aggregate(held, F.lit(b""), lambda acc, b: F.concat(acc, b["pcm"]))
+    skip = first - F.coalesce(F.get(held, 0)["sample_offset"], F.lit(first))
+    return pcm.select("doc_id", F.substring(joined, skip.cast("int") + 1, F.lit(count)).alias("pcm"))
+
+
+def media_digests(pcm: DataFrame) -> DataFrame:
+    """Digests and features of PCM tables, one row per document."""
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "media", SLICE):
-            streams = part.column("media").to_pylist()
-            for key, payload in zip(part.column("doc_id").to_pylist(), flac.decode(streams)):
-                at = range(0, len(payload), flac.BLOCK)
-                yield pa.record_batch([pa.array([key] * len(at), pa.int64()), pa.array(list(at), pa.int64()), pa.array([payload[i : i + flac.BLOCK] for i in at], pa.binary())], names=["doc_id", "sample_offset", "pcm"])
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                rows = []
+                for blocks in part.column("blocks").to_pylist():
+                    p = b"".join(b["pcm"] for b in blocks)
+                    rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), feature((np.frombuffer(p, np.uint8) ^ np.uint8(flac.MIDDLE)).view(np.int8))))
+                own = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.string()))]
+                yield pa.record_batch(
+                    [part.column("doc_id"), part.column("n_bytes"), *own[:3], part.column("media_bytes"), part.column("media_sha256"), own[3]], names=[c.split()[0] for c in schema.split(", ")]
+                )
 
-    return media.mapInArrow(run, "doc_id long, sample_offset long, pcm binary")
+    return pcm.mapInArrow(run, schema)
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_path(spark, "media")
-    encode_media(table(spark, sf_dir, "documents")).write.option("compression", "none").parquet(path)
-    return media_digests(spark.read.schema("doc_id long, n_bytes long, media binary").parquet(path))
+    """Streams are written and read, decoded into PCM blocks that are written and read, and those are digested."""
+    media, pcm = new_path(spark, "media"), new_path(spark, "media-pcm")
+    encode_media(table(spark, sf_dir, "documents")).write.option("compression", "none").parquet(media)
+    pcm_blocks(spark.read.schema("doc_id long, n_bytes long, media binary").parquet(media)).write.option("compression", "zstd").parquet(pcm)
+    return media_digests(spark.read.schema(PCM).parquet(pcm))

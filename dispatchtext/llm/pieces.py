@@ -30,6 +30,8 @@ from .common import materialize, slices, table
 CHUNK_CHARS = 32_768
 #: Bytes of text that one Python step encodes at a time; a list of ids takes about ten times as much.
 TEXT_SLICE = 1 << 20
+#: Chunks that one step of cutting yields at a time.
+CHUNKS_AT_ONCE = 32
 NEVER = float("-inf")
 DIGEST = "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean"
 
@@ -202,16 +204,27 @@ def encode_by_scan(p: Pieces, text: str, chunk: int) -> list[int]:
     return [i for (a, b), s, t in zip(bounds, path, path[1:]) for i in encode_chunk(p, full, a, b, s, t)]
 
 
+CHUNK = "uid long, n int, a int, b int, part string"
+
+
 def _chunks(giants: DataFrame, chunk: int, margin: int) -> DataFrame:
-    """uid, n, a, b (places inside `part`), part: the chunk and `margin` characters on either side."""
-    full = giants.select("uid", F.concat(F.lit(" "), F.col("text")).alias("full")).withColumn("size", F.length("full"))
-    n = F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / chunk).cast("int")))
-    rows = full.select("uid", "full", "size", n.alias("n"))
-    begin = F.greatest(F.lit(0), F.col("n") * chunk - margin)
-    stop = F.least(F.col("size"), (F.col("n") + 1) * chunk)
-    return rows.select(
-        "uid", "n", (F.col("n") * chunk - begin).alias("a"), (stop - begin).alias("b"), F.substring("full", begin + 1, F.lit(chunk + 2 * margin)).alias("part")
-    )
+    """uid, n, a, b (places inside `part`), part: the chunk and `margin` characters on either side. Each text is cut in one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", TEXT_SLICE):
+            for uid, text in zip(batch.column("uid").to_pylist(), batch.column("text").to_pylist()):
+                full = " " + text
+                starts = range(0, len(full), chunk)
+                for i in range(0, len(starts), CHUNKS_AT_ONCE):
+                    own = starts[i : i + CHUNKS_AT_ONCE]
+                    begins = [max(0, s - margin) for s in own]
+                    cols = [
+                        pa.array([uid] * len(own), pa.int64()), pa.array(range(i, i + len(own)), pa.int32()), pa.array([s - g for s, g in zip(own, begins)], pa.int32()),
+                        pa.array([min(len(full), s + chunk) - g for s, g in zip(own, begins)], pa.int32()), pa.array([full[g : s + chunk + margin] for s, g in zip(own, begins)], pa.string()),
+                    ]
+                    yield pa.record_batch(cols, names=["uid", "n", "a", "b", "part"])
+
+    return giants.select("uid", "text").mapInArrow(run, CHUNK)
 
 
 def _rows(docs: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
@@ -268,9 +281,14 @@ def _encode_giant(giant: DataFrame, model: str, chunk: int) -> DataFrame:
     # One row per chunk of one text meets per document; a text's chunks are bounded by the largest text.
     states_ = chunks.mapInArrow(matrices, "uid long, n int, ins int, outs int, allowed binary").groupBy("uid").applyInArrow(paths, "uid long, n int, s int, t int")
     encoded = chunks.join(states_, ["uid", "n"]).select("uid", "n", "part", "a", "b", "s", "t").mapInArrow(finish, "uid long, n int, ids binary")
-    joined = encoded.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("n", "ids"))).alias("parts"))
-    ids = joined.select("uid", F.aggregate("parts", F.lit("").cast("binary"), lambda acc, x: F.concat(acc, x["ids"])).alias("ids"))
-    return giants.join(ids, "uid").select("doc_id", "text", "ids")
+    joined = giants.join(encoded.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("n", "ids"))).alias("parts")), "uid")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", TEXT_SLICE):
+            ids = [b"".join(x["ids"] for x in parts) for parts in batch.column("parts").to_pylist()]
+            yield pa.record_batch([batch.column("doc_id"), batch.column("text"), pa.array(ids, pa.binary())], names=["doc_id", "text", "ids"])
+
+    return joined.select("doc_id", "text", "parts").mapInArrow(join, "doc_id long, text string, ids binary")
 
 
 def encode_documents(docs: DataFrame, model: str, chunk: int = CHUNK_CHARS) -> DataFrame:

@@ -1,5 +1,6 @@
 """The training-data operators against brute force, round trips and hand cases on small fixtures."""
 
+import hashlib
 import os
 import random
 import zlib
@@ -344,11 +345,25 @@ def lpc_frame(samples, coefs, shift):
     return np.append(body, [crc >> 8, crc & 255]).astype(np.uint8)
 
 
+def bits_frame(kind, body, wasted=0):
+    """A frame from the bits of its subframe's content."""
+    bits = "".join(f"{b:08b}" for b in flac._header(0)) + f"0{kind:06b}" + ("1" + "0" * (wasted - 1) + "1" if wasted else "0") + body
+    bits += "0" * (-len(bits) % 8)
+    data = np.array([int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)], np.uint8)
+    crc = int(flac.crc16_rows(data, np.array([0]), np.array([len(data)]))[0])
+    return np.append(data, [crc >> 8, crc & 255]).astype(np.uint8)
+
+
 def test_flac():
     rnd = random.Random(4)
-    payloads = [os.urandom(576 * 3), b"\x00" * 576 * 200, bytes(range(256)) * 9, (b"some ordinary text, again and again " * 32)[:1152]]
+    payloads = [os.urandom(576 * 3), b"\x00" * 576 * 200, bytes(range(256)) * 9, (b"some ordinary text, again and again " * 32)[:1152], b"\xff" * 576]
     streams = flac.encode(payloads)
     assert flac.decode(streams) == payloads and flac.seek(streams[0], 700, 900) == payloads[0][700:1600]
+    for stream, payload in zip(streams, payloads):  # the bit-by-bit reader agrees with the one on lanes
+        _, _, offsets, end = flac.parse(stream)
+        for i, (a, b) in enumerate(zip(offsets, [*offsets[1:], end])):
+            one = flac.decode_alone(stream[a + 6 + (i > 127) : b - 2])
+            assert bytes((v & 255) ^ 128 for v in one) == payload[576 * i : 576 * i + 576]
     bad = bytearray(streams[3])
     bad[-5] ^= 1
     with pytest.raises(ValueError, match="CRC-16"):
@@ -358,14 +373,42 @@ def test_flac():
     assert flac.decode_frames(frame, np.array([0]), np.array([len(frame)]))[0].tolist() == samples
 
 
+def test_flac_escapes_and_wasted_bits():
+    rnd = random.Random(5)
+    values = [rnd.randrange(-16, 16) for _ in range(576)]
+    five = "".join(f"{v & 31:05b}" for v in values)
+    escaped = bits_frame(8, "00" + "0000" + "1111" + "00101" + five)  # order 0, one partition of raw 5-bit residuals
+    wasted = bits_frame(1, "".join(f"{v & 63:06b}" for v in values), wasted=2)  # verbatim
+    same = bits_frame(0, f"{3:04b}", wasted=4)
+    flat = np.concatenate((escaped, wasted, same))
+    ends = np.cumsum([len(escaped), len(wasted), len(same)])
+    got = flac.decode_frames(flat, np.concatenate(([0], ends[:-1])), ends)
+    assert got.tolist() == [values, [4 * v for v in values], [48] * 576]
+
+
 def test_media(spark, docs, none):
     stored = media.encode_media(docs)
-    rows = media.media_digests(stored).collect()
-    assert len(rows) == docs.count() and all(r["payload_bytes"] % 576 == 0 and r["payload_bytes"] >= max(r["n_bytes"], 1) for r in rows)
-    blocks = media.pcm_blocks(stored.filter("doc_id = 2")).orderBy("sample_offset").collect()
-    text = make_docs()[2][1].encode()
-    assert b"".join(r["pcm"] for r in blocks)[: len(text)] == text
-    assert media.media_digests(media.encode_media(none)).count() == 0
+    pcm = media.pcm_blocks(stored).cache()
+    texts = {i: (t or "").encode() for i, t, *_ in make_docs() if i is not None}
+    streams = {r["doc_id"]: r["media"] for r in stored.collect()}
+    rows = media.media_digests(pcm).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        if r["doc_id"] is None:
+            continue
+        text = texts[r["doc_id"]]
+        payload = text + b"\xff" * (-len(text) % 576 or (0 if text else 576))
+        stream = streams[r["doc_id"]]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stream), hashlib.sha256(stream).hexdigest())
+        signed = [b - 128 for b in payload]
+        changes = sum((a < 0) != (b < 0) for a, b in zip(signed, signed[1:]))
+        assert r["feature"] == f"mean={1000 * sum(signed) // len(signed)};rms={int(1000 * (sum(v * v for v in signed) / len(signed)) ** 0.5)};zcr={1000 * changes // len(signed)}"
+    for r in pcm.collect():
+        assert [b["sample_offset"] for b in r["blocks"]] == list(range(0, 576 * len(r["blocks"]), 576)) and all(len(b["pcm"]) == 576 for b in r["blocks"])
+    long = next(i for i, t in texts.items() if len(t) > 5000)
+    assert {bytes(r["pcm"]) for r in media.samples(pcm.filter(f"doc_id = {long}"), 1000, 3000).collect()} == {texts[long][1000:4000]}
+    assert media.media_digests(media.pcm_blocks(media.encode_media(none))).count() == 0
 
 
 def test_min_cost_flow_moves_least():
@@ -388,12 +431,23 @@ def test_resharding(spark, docs, none):
     assert resharding.reshard(none).count() == 0
 
 
-def test_rewrite(spark, tmp_path):
-    docs = spark.createDataFrame([(i, f"text {i}" * (i % 9)) for i in range(200)], "doc_id long, text string")
-    placed = resharding.reshard(docs).cache()
-    shards = resharding.rewrite(docs, placed, "", str(tmp_path / "new"))
-    back = spark.read.parquet(str(tmp_path / "new"))
-    assert back.count() == placed.filter(placed.shard.isin(shards)).count()
+def test_placement_keeps_the_law_and_moves_least(spark):
+    rnd = random.Random(13)
+    texts = [None, "", "é" * 50] + ["x" * rnd.randrange(2000) for _ in range(900)]
+    docs = spark.createDataFrame([(i, t, i * i % 6) for i, t in enumerate(texts)], "doc_id long, text string, old int")
+    rows = resharding.reshard(docs, "old", rows_per_block=50).collect()
+    size = {i: len((t or "").encode()) + 1 for i, t in enumerate(texts)}
+    before, after, moved = [0] * 6, [0] * 8, 0
+    for r in rows:
+        i = r["doc_id"]
+        assert (r["size"], r["text_crc32"], r["old_shard"]) == (size[i], zlib.crc32((texts[i] or "").encode()), i * i % 6)
+        before[r["old_shard"]] += size[i]
+        after[r["shard"]] += size[i]
+        moved += size[i] * (r["old_shard"] != r["shard"])
+    total, most = sum(before), max(size.values())
+    assert all(abs(a - total / 8) <= 2 * most for a in after)
+    least = total - sum(min(b, total / 8) for b in before)
+    assert abs(moved - least) <= 16 * most
 
 
 def test_rewrite_keeps_null_and_repeated_keys(spark, tmp_path):
@@ -418,18 +472,27 @@ def test_resharding_query_reads_written_files(spark):
 
 
 def test_packing(spark, docs, none):
-    rows = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=64, group_pieces=40).collect()
-    held = {}
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = packing.pack_documents(docs, path, capacity=64, group_pieces=40).collect()
+    held, pieces_of = {}, {}
     for r in rows:
         held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        pieces_of.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
     for spans in held.values():
         at = 0
         for offset, length in sorted(spans):
             assert offset == at
             at += length
         assert at <= 64
-    assert len({(r["doc_id"], r["piece"], r["start"]) for r in rows if r["doc_id"] not in (None, 3)}) == sum(r["doc_id"] not in (None, 3) for r in rows)
-    assert packing.pack_documents(none, public_tokenizers.path("word_bpe_49k.json")).count() == 0
+    plain = Tokenizer.from_file(path)
+    want = {}
+    for i, t, *_ in make_docs():  # plain encode(), cut by hand
+        ids = [*plain.encode(t or "", add_special_tokens=False).ids, 0]
+        for n, a in enumerate(range(0, len(ids), 64)):
+            own = ids[a : a + 64]
+            want.setdefault(i, []).append((n, a, len(own), zlib.crc32(np.array(own, "<u4").tobytes())))
+    assert {i: sorted(x) for i, x in pieces_of.items()} == {i: sorted(x) for i, x in want.items()}
+    assert packing.pack_documents(none, path).count() == 0
 
 
 def test_best_two_fit_is_tight():
