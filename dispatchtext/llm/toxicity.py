@@ -1,26 +1,25 @@
-"""Toxicity by compression distance: two zstandard dictionaries, window lengths compared, calibrated scores.
-
-Both dictionaries hold the same ordinary text; the toxic one also holds passages of toxic text, so a window
-gets shorter under it only where toxic content matches. A window is one word in a fixed frame of ordinary
-text. Letters are stretched to STRETCH bytes each, so that a match of a short word outweighs the cost of
-coding the match. Passages come from marks: groups of GRAMS letters that toxic documents hold far more often,
-within clusters of similar text (languages, mostly) as well as over all, so that a mark of a small language
-counts. A word that holds no mark has distance 0: part of a mark is ordinary text as often as not. A document's
-distances (the largest, their sum, the text's length) give a score by logistic calibration.
-
-Training uses at most max_train documents per class, the first by a hash of the key, each with its distinct
-words; texts over MAX_TRAIN_CHARS are not trained on. Scoring reads every whole text.
+"""Toxicity by compression distance: zstandard dictionaries trained on toxic and on ordinary text, window lengths compared.
+
+Training documents fall into clusters of similar text (languages, mostly; labels are not used). In each cluster both
+classes are dealt into FOLDS parts, and on each part zstandard trains a dictionary of its own from the whole texts.
+A window is one word between its spaces, every byte stretched to two, so that a match of a short word outweighs the
+cost of coding it. A word's distance is the number of bytes that the toxic dictionary saves on the window over the
+ordinary one, the least over the FOLDS pairs: what toxic text has in common shows in every pair, what a dictionary
+holds by chance in one. A document's distances (the largest, how many reach each of STEPS, how many words there are)
+give a score by a logistic calibration on labelled documents that no dictionary has seen.
+
+Training takes at most max_train documents per class, the first by a hash of the key; texts over MAX_TRAIN_CHARS are
+not trained on. Scoring reads every whole text.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -29,234 +28,158 @@ from pyspark.sql import functions as F
 from .common import crc_mod, slices, table, tidy
 from .words import batch_words
 
-MAX_TRAIN, MAX_TRAIN_CHARS = 2500, 200_000
-#: Letters of a group, and when a group marks toxic text; CHANCE bounds the probability that it does so by chance.
-GRAMS, MIN_DOCS, MIN_SHARE, LIFT, CHANCE = (5, 6, 7, 8), 3, 0.02, 10.0, 1e-4
-#: Clusters of the training documents; hash buckets of the bounds on document frequencies.
-CLUSTERS, BUCKETS = 8, 1 << 21
-STRETCH = 2
+MAX_TRAIN, MAX_TRAIN_CHARS = 3500, 20_000
+#: Clusters of the training documents at first, and parts of each class in a cluster; a cluster with fewer than MIN_DOCS a
+#: class and part joins the most similar one.
+CLUSTERS, FOLDS, MIN_DOCS = 16, 3, 3
+#: Every CALIBRATE-th document is kept for the calibration.
+CALIBRATE = 4
+ORDINARY_BYTES, TOXIC_BYTES = 64 << 10, 32 << 10
+#: Distances that words are counted by; below the first a word counts for nothing.
+STEPS = (2, 3, 4, 5, 6, 8)
 #: Words whose distances are kept while a task runs; the cache starts anew beyond that (results do not change).
-MAX_KNOWN = 150_000
-#: Bytes saved from which a word adds to its document's sum.
-SURE = 6
-ORDINARY_BYTES, TOXIC_BYTES = 1 << 10, 24 << 10
+MAX_KNOWN = 200_000
 THRESHOLD = 0.3
 HELD_OUT_MOD, HELD_OUT = 4, 2
 
+PAIR_BINS = 1024
+_OTHER = bytes(b ^ 0x55 for b in range(256))
+
 
 def stretch(data: bytes) -> bytes:
-    """Each byte followed by STRETCH - 1 others that depend on it."""
-    b = np.frombuffer(data, np.uint8)
-    return np.stack([b, *(b ^ np.uint8(0x55 * k) for k in range(1, STRETCH))], axis=1).tobytes()
-
-
-def _grams(word: str) -> set[str]:
-    """Groups of GRAMS letters of the word and the spaces at its ends; a shorter word is its own group."""
-    padded = " " + word + " "
-    return {padded[i : i + n] for n in GRAMS for i in range(max(1, len(padded) - n + 1))}
-
-
-def clusters(docs: list[list[str]], k: int = CLUSTERS) -> np.ndarray:
-    """A cluster for each document by its pairs of bytes (spherical k-means, farthest first); labels are not used."""
-    x = np.zeros((len(docs), 1024), np.float32)
-    for i, words in enumerate(docs):
-        b = np.frombuffer(" ".join(words).encode()[:20_000], np.uint8).astype(np.uint32)
-        if len(b) > 1:
-            pairs = ((b[:-1] * np.uint32(257) + b[1:]) * np.uint32(2654435761)) >> np.uint32(22)
-            x[i] = np.sqrt(np.bincount(pairs, minlength=1024))
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    centre = [x[(x @ x.mean(0)).argmax()]]
-    near = x @ centre[0]
-    while len(centre) < min(k, len(x)):
-        centre.append(x[near.argmin()])
-        near = np.maximum(near, x @ centre[-1])
-    c = np.stack(centre)
+    """Each byte followed by another that depends on it."""
+    out = bytearray(2 * len(data))
+    out[::2], out[1::2] = data, data.translate(_OTHER)
+    return bytes(out)
+
+
+def distinct_words(text: str) -> list[str]:
+    return list(dict.fromkeys(text.lower().split()))
+
+
+def profiles(texts: pa.Array) -> np.ndarray:
+    """Roots of the counts of hashed pairs of bytes of each lower-cased text, of length one (all 0 for texts under two bytes)."""
+    lower = pc.utf8_lower(texts.fill_null(""))
+    lengths = pc.binary_length(lower).to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(lengths), PAIR_BINS), np.float32)
+    if not lengths.sum():
+        return out
+    data = np.frombuffer(b"".join(lower.cast(pa.binary()).to_pylist()), np.uint8).astype(np.uint32)
+    ends = np.cumsum(lengths)
+    for i, (a, b) in enumerate(zip((ends - lengths).tolist(), ends.tolist())):
+        if b - a > 1:
+            pairs = ((data[a : b - 1] * np.uint32(257) + data[a + 1 : b]) * np.uint32(2654435761)) >> np.uint32(22)
+            out[i] = np.sqrt(np.bincount(pairs, minlength=PAIR_BINS))
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+def centres(x: np.ndarray, k: int = CLUSTERS) -> np.ndarray:
+    """Spherical k-means, farthest first."""
+    found = [x[(x @ x.mean(0)).argmax()]]
+    near = x @ found[0]
+    while len(found) < min(k, len(x)):
+        found.append(x[near.argmin()])
+        near = np.maximum(near, x @ found[-1])
+    c = np.stack(found)
     for _ in range(20):
         of = (x @ c.T).argmax(1)
         for j in range(len(c)):
             if (of == j).any():
                 mean = x[of == j].mean(0)
                 c[j] = mean / max(np.linalg.norm(mean), 1e-9)
-    return of
-
-
-def _chance(n: int, m: int, share: float) -> float:
-    """Probability that n or more of n + m documents are toxic when each is with probability `share`."""
-    t = n + m
-    return sum(
-        math.exp(math.lgamma(t + 1) - math.lgamma(i + 1) - math.lgamma(t - i + 1) + i * math.log(share) + (t - i) * math.log1p(-share)) for i in range(n, t + 1)
-    )
-
-
-class Groups:
-    """Document frequencies of groups of letters, by fold and cluster, for the groups that can be marks."""
-
-    def __init__(self, toxic: list[list[str]], ordinary: list[list[str]]):
-        of = clusters(toxic + ordinary).tolist()
-        self.n, self.words, self.seen = {}, {}, {}
-        self.places = sorted(set(of)) + [-1]  # -1: all clusters together
-        for label, docs, places in ((1, toxic, of[: len(toxic)]), (0, ordinary, of[len(toxic) :])):
-            for fold in (0, 1):
-                for c in self.places:
-                    own = [w for w, at in zip(docs[fold::2], places[fold::2]) if c in (at, -1)]
-                    self.n[label, fold, c] = len(own)
-                    if label:
-                        self.words[fold, c] = Counter(w for words in own for w in words)
-        self.frequent = self._bounds()
-        self.cache: dict[str, tuple[str, ...]] = {}
-        self.names: dict[str, str] = {}
-        for label, docs, places in ((1, toxic, of[: len(toxic)]), (0, ordinary, of[len(toxic) :])):
-            for fold in (0, 1):
-                for c in self.places:
-                    self.seen[label, fold, c] = Counter()
-                for words, at in zip(docs[fold::2], places[fold::2]):
-                    self.seen[label, fold, at].update({g for w in words for g in self.of(w)})
-                for c in self.places[:-1]:
-                    self.seen[label, fold, -1].update(self.seen[label, fold, c])
-
-    def _bounds(self) -> np.ndarray:
-        """By hash of a group: whether its words are in enough toxic documents of some cluster (no frequent group is missed)."""
-        enough = np.zeros(BUCKETS, bool)
-        all_words = list(self.words[0, -1].keys() | self.words[1, -1].keys())
-        counts = {c: np.zeros(BUCKETS, np.int32) for c in self.places}
-        for start in range(0, len(all_words), 50_000):
-            part = all_words[start : start + 50_000]
-            groups = [[hash(g) % BUCKETS for g in _grams(w)] for w in part]
-            size = [len(g) for g in groups]
-            at = np.fromiter((h for g in groups for h in g), np.int64, sum(size))
-            for c, total in counts.items():
-                times = np.repeat(np.array([self.words[0, c][w] + self.words[1, c][w] for w in part], np.int64), size)
-                some = times > 0
-                total += np.bincount(at[some], times[some], BUCKETS).astype(np.int32)
-        for c, total in counts.items():
-            enough |= total >= max(MIN_DOCS, MIN_SHARE * min(self.n[1, 0, c], self.n[1, 1, c]))
-        return enough
-
-    def of(self, word: str) -> tuple[str, ...]:
-        got = self.cache.get(word)
-        if got is None:
-            got = self.cache[word] = tuple(self.names.setdefault(g, g) for g in _grams(word) if self.frequent[hash(g) % BUCKETS])
-        return got
+    return c
 
-    def passages(self, folds: tuple[int, ...]) -> dict[str, str]:
-        """Marks of toxic documents of these folds, each with the stretch of words that it stands for, commonest last.
-
-        A mark is a group of letters that, within a cluster or over all, is far more frequent in toxic documents
-        than in ordinary ones, and too often so to be chance.
-        """
-        found: dict[str, tuple[int, str]] = {}
-        for c in self.places:
-            n_tox, n_ord = (sum(self.n[label, f, c] for f in folds) for label in (1, 0))
-            if not n_tox:
-                continue
-            tox, ordinary, docs_of = Counter(), Counter(), Counter()
-            for f in folds:
-                tox.update(self.seen[1, f, c])
-                ordinary.update(self.seen[0, f, c])
-                docs_of.update(self.words[f, c])
-            least, share = max(MIN_DOCS, MIN_SHARE * n_tox), (n_tox + 0.5) / (n_tox + n_ord + 1)
-            marks = {
-                g for g, n in tox.items()
-                if n >= least and n / n_tox >= LIFT * (ordinary[g] + 0.5) / max(n_ord, 1) and _chance(n, ordinary[g], share) < CHANCE
-            }
-            holding: dict[str, set[str]] = {}
-            for w in docs_of:
-                for g in marks.intersection(self.of(w)):
-                    holding.setdefault(g, set()).add(w)
-            # Cover the words by few groups of letters: what only comes with a chosen group (an ending) is left out.
-            weight = {g: sum(docs_of[w] for w in ws) for g, ws in holding.items()}
-            while holding:
-                best = max(weight, key=lambda g: (weight[g], -len(g), g))
-                if weight[best] < MIN_DOCS:
-                    break
-                gone = set(holding[best])
-                stem = _widen(best, [(" " + w + " ", docs_of[w]) for w in sorted(gone)])
-                found[best] = max(found.get(best, (0, "")), (weight[best], stem))
-                for g in [g for g, ws in holding.items() if not ws.isdisjoint(gone)]:
-                    weight[g] -= sum(docs_of[w] for w in holding[g] & gone)
-                    holding[g] -= gone
-                    if not holding[g]:
-                        del holding[g], weight[g]
-        out, size = [], 0
-        for mark, (_, stem) in sorted(found.items(), key=lambda x: (-x[1][0], x[0])):
-            size += len(stem.encode()) + 1
-            if size > TOXIC_BYTES:
-                break
-            out.append((mark, stem))
-        return dict(out[::-1])
-
-
-def _widen(stem: str, words: list[tuple[str, int]]) -> str:
-    """Add letters on either side while nearly all of the words agree on them."""
-    total = sum(n for _, n in words)
-    for right in (True, False):
-        while True:
-            nexts: Counter = Counter()
-            for w, n in words:
-                i = w.find(stem)
-                at = i + len(stem) if right else i - 1
-                if i >= 0 and 0 <= at < len(w):
-                    nexts[w[at]] += n
-            letter, n = max(nexts.items(), key=lambda x: (x[1], x[0]), default=("", 0))
-            if n < 0.8 * total or letter == " " and right:
-                break
-            stem = stem + letter if right else letter + stem
-    return stem
+
+def merged(sides: list[np.ndarray], c: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(centres, cluster of each document of both classes): clusters short of either class join the most similar one."""
+    of = [(x @ c.T).argmax(1) for x in sides]
+    names = list(range(len(c)))
+    while len(names) > 1:
+        counts = [min(int((own == j).sum()) for own in of) for j in names]
+        if min(counts) >= MIN_DOCS * FOLDS:
+            break
+        j = names[int(np.argmin(counts))]
+        to = max((i for i in names if i != j), key=lambda i: c[i] @ c[j])
+        for own in of:
+            own[own == j] = to
+        mean = np.concatenate([x[own == to] for x, own in zip(sides, of)]).sum(0)
+        c[to] = mean / max(np.linalg.norm(mean), 1e-9)
+        names.remove(j)
+    return c[names], [np.searchsorted(names, own) for own in of]
+
+
+def dictionary(docs: list[list[str]], size: int) -> bytes:
+    """A zstandard dictionary trained on documents; of samples too few or too small to train on, their text itself."""
+    samples = [stretch(f" {' '.join(words)} ".encode()) for words in docs if words]
+    if sum(map(len, samples)) > 2 * size:
+        try:
+            return zstandard.train_dictionary(size, samples).as_bytes()
+        except zstandard.ZstdError:
+            pass  # the trainer wants more samples
+    return b"".join(samples)[-size:]
 
 
 @dataclass
 class Model:
-    """ordinary: dictionary content of both; toxic: further content; weights of the calibration."""
+    """centres of the clusters; per cluster FOLDS pairs (ordinary, toxic); weights of the calibration."""
+
+    centres: np.ndarray
+    pairs: list[list[tuple[bytes, bytes]]]
+    weights: tuple[float, ...] = ()
+    press: list = field(default_factory=list)
+    known: list[dict[str, int]] = field(default_factory=list)
 
-    ordinary: bytes
-    toxic: bytes
-    weights: tuple[float, ...]
-    marks: tuple[str, ...] = ()
+    def clear(self) -> None:
+        self.press, self.known = [], []
 
     def prepare(self) -> None:
         params = zstandard.ZstdCompressionParameters(
-            window_log=17, hash_log=14, chain_log=14, search_log=8, min_match=6, target_length=64, strategy=zstandard.STRATEGY_BTOPT, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS
+            window_log=17, hash_log=16, chain_log=16, search_log=4, min_match=4, target_length=64, strategy=zstandard.STRATEGY_BTOPT, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS
         )
-        self.frame = stretch(self.ordinary[:32])
-        self.press = []
-        for content in (self.ordinary, self.toxic + b"\n" + self.ordinary):
-            held = zstandard.ZstdCompressionDict(stretch(content), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+        def compressor(content: bytes):
+            held = zstandard.ZstdCompressionDict(content)
             held.precompute_compress(compression_params=params)
-            self.press.append(zstandard.ZstdCompressor(dict_data=held, compression_params=params))
-        self.heads: dict[str, tuple[str, ...]] = {}
-        for mark in self.marks:
-            head = mark[: GRAMS[0]]
-            self.heads[head] = (*self.heads.get(head, ()), mark)
-        self.known: dict[str, int] = {}
-
-    def distance(self, word: str) -> int:
-        """Bytes that the toxic dictionary saves on the word's window; 0 for none."""
-        got = self.known.get(word)
+            return zstandard.ZstdCompressor(dict_data=held, compression_params=params).compress
+
+        self.press = [[(compressor(o), compressor(t)) for o, t in pairs] for pairs in self.pairs]
+        self.known = [{} for _ in self.pairs]
+
+    def distance(self, cluster: int, word: str) -> int:
+        """Bytes that toxic dictionaries save on the word's window over ordinary ones, the least of all pairs, as far as it matters."""
+        known = self.known[cluster]
+        got = known.get(word)
         if got is None:
-            padded, heads = f" {word} ", self.heads
-            if any(padded.startswith(mark, i) for i in range(len(padded)) for mark in heads.get(padded[i : i + GRAMS[0]], ())):
-                window = self.frame + stretch(padded.encode())
-                a, b = (len(p.compress(window)) for p in self.press)
-                got = max(0, a - b)
-            else:
-                got = 0
-            if len(self.known) > MAX_KNOWN:
-                self.known.clear()
-            self.known[word] = got
+            window, got = stretch(f" {word} ".encode()), 1 << 30
+            for ordinary, toxic in self.press[cluster]:
+                got = min(got, len(ordinary(window)) - len(toxic(window)))
+                if got < STEPS[0]:  # the least can only fall
+                    got = 0
+                    break
+            if len(known) > MAX_KNOWN:
+                known.clear()
+            known[word] = got
         return got
 
     def features(self, texts: pa.Array) -> np.ndarray:
-        """Largest distance, logarithms of the sum of distances of SURE bytes or more and of the number of words, by text."""
+        """Largest distance, logarithms of the numbers of distinct words that reach each of STEPS, and of all distinct words, by text."""
+        out = np.zeros((len(texts), 2 + len(STEPS)))
+        if not self.pairs or not len(texts):
+            return out
         words, index, bounds = batch_words(texts)
-        gain = np.fromiter(map(self.distance, words), np.float64, len(words))[index] if words else np.empty(0)
-        n = np.diff(bounds)
-        most, total = np.zeros(len(n)), np.zeros(len(n))
-        some = n > 0
-        if some.any():
-            at = bounds[:-1][some]
-            most[some] = np.maximum.reduceat(gain, at)
-            total[some] = np.add.reduceat(np.where(gain >= SURE, gain, 0), at)
-        return np.stack([most, np.log1p(total), np.log1p(n)], axis=1)
+        if not words or not len(index):
+            return out
+        cluster = (profiles(texts) @ self.centres.T).argmax(1)
+        doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
+        doc, word = np.divmod(np.unique(doc * np.int64(len(words)) + index), len(words))
+        pair, place = np.unique(cluster[doc] * np.int64(len(words)) + word, return_inverse=True)
+        at, of = np.divmod(pair, len(words))
+        gain = np.fromiter((self.distance(c, words[w]) for c, w in zip(at.tolist(), of.tolist())), np.int64, len(pair))[place]
+        np.maximum.at(out[:, 0], doc, gain)
+        for i, step in enumerate(STEPS):
+            out[:, 1 + i] = np.log1p(np.bincount(doc[gain >= step], minlength=len(texts)))
+        out[:, -1] = np.log1p(np.bincount(doc, minlength=len(texts)))
+        return out
 
     def scores(self, features: np.ndarray) -> np.ndarray:
         if not self.weights:
@@ -268,58 +191,51 @@ class Model:
 def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     """Logistic weights (intercept first) by Newton steps with a small ridge; classes count as they occur."""
     x = np.column_stack([np.ones(len(x)), x])
-    w, ridge = np.zeros(x.shape[1]), np.diag([1e-6, 0.05, 0.05, 0.05])
-    for _ in range(50):
+    w, ridge = np.zeros(x.shape[1]), np.diag([1e-6, *[0.05] * (x.shape[1] - 1)])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
     return tuple(w.tolist())
 
 
-def _ordinary(docs: list[list[str]]) -> bytes:
-    common = Counter(w for words in docs for w in words)
-    out = " ".join(w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))).encode()
-    return out[:ORDINARY_BYTES]
-
-
-def distinct_docs(docs: list[list[str]], bands: int = 6, rows: int = 3) -> list[list[str]]:
-    """Drop near copies (min-hash bands over the word sets): words that only copies share mark no class."""
+def distinct_texts(texts: list[str], bands: int = 10, rows: int = 6) -> list[str]:
+    """Drop near copies (min-hash bands over the word sets): words that only copies share say nothing of a class."""
     rng = np.random.default_rng(7)
     mult, add = (rng.integers(1, 1 << 62, (bands * rows, 1), np.uint64) | np.uint64(1) for _ in range(2))
     seen: set[tuple] = set()
     out = []
-    for words in docs:
+    for text in texts:
+        words = distinct_words(text)
         h = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
         least = (h[None, :] * mult + add).min(1).reshape(bands, rows) if len(h) else np.zeros((bands, rows))
         keys = [(i, *b) for i, b in enumerate(least.tolist())]
         if seen.isdisjoint(keys):
-            out.append(words)
+            out.append(text)
         seen.update(keys)
     return out
 
 
-def fit(toxic: list[list[str]], ordinary: list[list[str]]) -> Model:
-    """A model from the words of labelled documents. Calibration scores each half with the other half's dictionaries."""
-    toxic, ordinary = distinct_docs(toxic), distinct_docs(ordinary)
-    if not toxic or not ordinary:
-        return Model(b"the and of to", b"", ())
-    groups = Groups(toxic, ordinary)
-
-    def model(docs: list[list[str]], folds: tuple[int, ...]) -> Model:
-        found = groups.passages(folds)
-        return Model(_ordinary(docs), "\n".join(found.values()).encode(), (), tuple(found))
-
-    xs, ys = [], []
-    for fold in (0, 1):
-        half = model(ordinary[1 - fold :: 2], (1 - fold,))
-        half.prepare()
-        for label, docs in ((1, toxic[fold::2]), (0, ordinary[fold::2])):
-            xs.append(half.features(pa.array([" ".join(w) for w in docs], pa.string())))
-            ys.append(np.full(len(docs), float(label)))
-    whole = model(ordinary, (0, 1))
-    return Model(whole.ordinary, whole.toxic, _calibrate(np.concatenate(xs), np.concatenate(ys)), whole.marks)
+def fit(toxic: list[str], ordinary: list[str]) -> Model:
+    """A model from labelled texts. Both classes count by their share in what is given, after near copies are dropped."""
+    sides = [distinct_texts(toxic), distinct_texts(ordinary)]
+    model = Model(np.zeros((0, PAIR_BINS), np.float32), [])
+    kept = [[t for i, t in enumerate(side) if i % CALIBRATE] for side in sides]
+    held = [side[::CALIBRATE] for side in sides]
+    if not all(kept):
+        return model
+    x = [profiles(pa.array(side, pa.string())) for side in kept]
+    model.centres, of = merged(x, centres(np.concatenate(x)))
+    for j in range(len(model.centres)):
+        parts = [[distinct_words(t) for t, a in zip(side, own) if a == j] for side, own in zip(kept, of)]
+        model.pairs.append([(dictionary(parts[1][i::FOLDS], ORDINARY_BYTES), dictionary(parts[0][i::FOLDS], TOXIC_BYTES)) for i in range(FOLDS)])
+    model.prepare()
+    features = np.concatenate([model.features(pa.array(side, pa.string())) for side in held])
+    model.weights = _calibrate(features, np.repeat([1.0, 0.0], [len(held[0]), len(held[1])]))
+    model.clear()
+    return model
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
@@ -327,7 +243,6 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter((crc_mod("doc_id", HELD_OUT_MOD) != HELD_OUT) & F.col("toxic").isin(0, 1)).distinct()
     held = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.length("text") <= MAX_TRAIN_CHARS)
-    words = F.array_distinct(F.split(F.lower("text"), r"\s+")).alias("words")
     parts = []
     for label in (1, 0):
         # The least hashes are below a threshold that lets twice as many through: tasks send few keys, however many they are.
@@ -335,10 +250,16 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
         own = marked.filter((F.col("toxic") == label) & (F.xxhash64("doc_id") <= int((2 * most - 1) * (1 << 63)) - (most == 1.0)))
         kept = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).select("doc_id")
         rows = texts.join(F.broadcast(kept), "doc_id").limit(max_train)  # at most max_train keys
-        parts.append([[w for w in r["words"] if w] for r in sorted(rows.select("doc_id", words).collect(), key=lambda r: (r["doc_id"], r["words"]))])
+        parts.append([r["text"] for r in sorted(rows.select("doc_id", "text").collect())])
     return fit(*parts)
 
 
+def _scored(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    model.prepare()
+    for part in slices(batches, "text"):
+        yield part, model.scores(model.features(part.column("text")))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs.
 
@@ -347,24 +268,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model.prepare()
-        for part in slices(batches, "text"):
-            scores = model.scores(model.features(part.column("text")))
+        for part, scores in _scored(model, batches):
             yield pa.record_batch([part.column("doc_id"), part.column("held_out"), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long"), (crc_mod("doc_id", HELD_OUT_MOD) == HELD_OUT).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(tidy(run, model.prepare), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(run, model.clear), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs (all columns) that score below the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model.prepare()
-        for part in slices(batches, "text"):
-            yield part.filter(pa.array(model.scores(model.features(part.column("text"))) < threshold))
+        for part, scores in _scored(model, batches):
+            yield part.filter(pa.array(scores < threshold))
 
-    return docs.mapInArrow(tidy(run, model.prepare), docs.schema)
+    return docs.mapInArrow(tidy(run, model.clear), docs.schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from dispatchtext.llm import flac, language, media, packing, pieces, quality, resharding, simhash, token_store, toxicity
+from dispatchtext.llm import flac, language, media, packing, pieces, quality, resharding, simhash, token_store
 from dispatchtext.llm.tokens import Coder, coder
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
@@ -272,39 +272,6 @@ def test_language_edges(spark, docs, none):
     assert {r["lang_pred"] for r in language.predict(docs, language.train(none)).collect()} == {"und"}
 
 
-def test_toxicity_separates(spark, docs, none):
-    rnd = random.Random(2)
-    clean = [[rnd.choice(WORDS) + str(rnd.randrange(30)) for _ in range(40)] for _ in range(300)]
-    toxic = [c[:20] + [rnd.choice(["blargface", "snotwit", "grubhead"])] + c[20:] for c in ([rnd.choice(WORDS) + str(rnd.randrange(30)) for _ in range(40)] for _ in range(80))]
-    model = toxicity.fit(toxic, clean)
-    held = spark.createDataFrame([(1, "alpha1 you snotwit beta2 gamma3 delta4"), (2, "alpha1 beta2 gamma3 delta4 mu5"), (3, None), (None, "")], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in toxicity.score(held, model).collect()}
-    assert got[1]["predicted"] == 1 and got[2]["predicted"] == 0 and 0 <= got[3]["score"] <= 1
-    assert toxicity.score(none, model).count() == 0 and toxicity.score(docs, toxicity.fit([], [])).count() == docs.count()
-
-
-def test_toxicity_of_a_small_language_with_long_marks():
-    """Marks longer than 5 letters, all of whose 5-letter groups are ordinary, in 3 % of the toxic documents."""
-    rnd = random.Random(12)
-    small = [a + b for a in "шк рт льн бр чк вд гл мн".split() for b in "аеиоуыяю"]
-
-    def text(words, extra=()):
-        return [rnd.choice(words) + rnd.choice(words) for _ in range(40)] + list(extra)
-
-    def rare(toxic):
-        own = ["злобарт", "обартик", "артикус"]  # every group of five letters of the mark is ordinary
-        return text(small, ["злобартикус"] if toxic else own)
-
-    def split(toxic, big, few):
-        return [text(WORDS, ["blargface"] if toxic else []) for _ in range(big)] + [rare(toxic) for _ in range(few)]
-
-    model = toxicity.fit(split(True, 600, 18), split(False, 600, 150))
-    model.prepare()
-    held = [(rare(t), t) for t in (True, False) for _ in range(20)]
-    predicted = model.scores(model.features(toxicity.pa.array([" ".join(w) for w, _ in held]))) >= toxicity.THRESHOLD
-    assert [bool(p) for p in predicted] == [t for _, t in held]
-
-
 def test_pieces_scan_equals_library():
     p = pieces.pieces(public_tokenizers.path("piece_bpe_32k.model"))
     rnd = random.Random(3)
