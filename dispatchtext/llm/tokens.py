@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
-#: Distinct units, parts and ids kept while a task runs, about 60 MB; the cache starts anew beyond that (results do not change).
-MAX_UNITS, MAX_IDS = 250_000, 4_000_000
+#: Distinct units, parts and ids kept while a task runs, about 110 MB; the cache starts anew beyond that (results do not change).
+MAX_UNITS, MAX_IDS = 500_000, 8_000_000
 
 #: The byte-level split pattern of the byte_bpe file and the split pattern of the word_bpe file.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
