@@ -11,13 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import new_path
+from ..sources.shared import new_path, remove
 from . import flac
 from .common import slices, table
 
 SLICE = 1 << 20
 #: Documents of one batch whose PCM is held at a time.
 ROWS = 256
+#: Parts of the documents whose streams are stored at a time.
+PARTS = 4
 
 
 def encode_media(docs: DataFrame) -> DataFrame:
@@ -91,9 +93,22 @@ def media_digests(pcm: DataFrame) -> DataFrame:
     return pcm.mapInArrow(run, schema)
 
 
+def store_pcm(docs: DataFrame, path: str, parts: int = PARTS) -> DataFrame:
+    """Write PCM of every text at path by way of stored streams, and read it: streams are written, read and decoded in turn.
+
+    Each of `parts` parts of docs (by a hash of the row) is decoded before the next is stored, and its streams are
+    removed then, so that scratch space holds one part of them. Keep encode_media()'s table to keep the streams.
+    """
+    spark = docs.sparkSession
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))
+    for i in range(parts):
+        media = new_path(spark, "media")
+        encode_media(docs.filter(part == i)).write.option("compression", "none").parquet(media)
+        pcm_blocks(spark.read.schema("doc_id long, n_bytes long, media binary").parquet(media)).write.mode("append").option("compression", "zstd").parquet(path)
+        remove(spark, media)
+    return spark.read.schema(PCM).parquet(path)
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streams are written and read, decoded into PCM blocks that are written and read, and those are digested."""
-    media, pcm = new_path(spark, "media"), new_path(spark, "media-pcm")
-    encode_media(table(spark, sf_dir, "documents")).write.option("compression", "none").parquet(media)
-    pcm_blocks(spark.read.schema("doc_id long, n_bytes long, media binary").parquet(media)).write.option("compression", "zstd").parquet(pcm)
-    return media_digests(spark.read.schema(PCM).parquet(pcm))
+    return media_digests(store_pcm(table(spark, sf_dir, "documents"), new_path(spark, "media-pcm")))

@@ -398,6 +398,20 @@ def test_resharding(spark, docs, none):
     assert resharding.reshard(none).count() == 0
 
 
+def test_media_query(spark):
+    """The query's rows against streams and digests made text by text."""
+    sf = "/root/testdata/sf0.001"
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        text = (r["text"] or "").encode()
+        payload = text + b"\xff" * (-len(text) % 576 or (0 if text else 576))
+        stream = flac.encode([payload])[0]
+        want[r["doc_id"]] = (len(text), hashlib.sha256(payload).hexdigest(), len(stream), hashlib.sha256(stream).hexdigest())
+    rows = media.op7_media(spark, sf).collect()
+    assert len(rows) == len(want)
+    assert {r["doc_id"]: (r["n_bytes"], r["payload_sha256"], r["media_bytes"], r["media_sha256"]) for r in rows} == want
+
+
 def test_placement_keeps_the_law_and_moves_least(spark):
     rnd = random.Random(13)
     texts = [None, "", "é" * 50] + ["x" * rnd.randrange(2000) for _ in range(900)]
