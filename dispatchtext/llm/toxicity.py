@@ -1,7 +1,7 @@
 """Toxicity by compression distance: zstandard dictionaries trained on toxic and on ordinary text, window lengths compared.
 
-Training documents fall into clusters of similar text (languages, mostly; labels are not used). In each cluster both
-classes are dealt into FOLDS parts, and on each part zstandard trains a dictionary of its own from the whole texts.
+Training documents fall into clusters of similar text (languages, mostly); labels only say which clusters hold too few
+documents of a class and join the most similar one. In each cluster both classes are dealt into FOLDS parts, and on each part zstandard trains a dictionary of its own from the whole texts.
 A window is one word between its spaces, every byte stretched to two, so that a match of a short word outweighs the
 cost of coding it. A word's distance is the number of bytes that the toxic dictionary saves on the window over the
 ordinary one, the least over the FOLDS pairs: what toxic text has in common shows in every pair, what a dictionary
