@@ -146,7 +146,7 @@ def t8_locate_composed(spark: SparkSession, sf_dir: str) -> DataFrame:
   ordinal = 0 as selected from {M}, (select unnest([0, 1]) as ordinal) o where k % 97 <> 0 and k % 89 <> 0 and v not in (6, 7, 8, 10) and (ordinal = 0 or v = 9)""")
 def p4_rank_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why accepted phones stand where they do."""
-    rows = telemetry(labelled(spark, sf_dir)).select("message_id", F.posexplode("phones").alias("ordinal", "p")).filter("p.accepted")
+    rows = telemetry(labelled(spark, sf_dir)).select("message_id", F.posexplode_outer("phones").alias("ordinal", "p")).filter("p.accepted")  # outer: no filter that finds phones again
     return rows.select("message_id", "ordinal", F.array_join("p.rank_reasons", ",").alias("reasons"), "p.selected")
 
 

@@ -96,11 +96,14 @@ def parse(rows: DataFrame, promote: bool = False) -> DataFrame:
 def telemetry(rows: DataFrame) -> DataFrame:
     """Counts and offsets of prepared rows, no text: message_id, n_chars, n_lines, actions, removed_count, phone_count, phones, spans."""
     chosen = phones.selected(F.col("candidates"))["start"]
-    facts = F.transform(F.col("candidates"), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["reject_reason"].isNull().alias("accepted"), F.coalesce(c["start"] == chosen, F.lit(False)).alias("selected"), c["reject_reason"].alias("reject_reason"), phones.rank_reasons(c, chosen).alias("rank_reasons")))
+
+    def facts(at: Column) -> Column:
+        return F.transform("candidates", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["reject_reason"].isNull().alias("accepted"), F.coalesce(c["start"] == at, F.lit(False)).alias("selected"), c["reject_reason"].alias("reject_reason"), phones.rank_reasons(c, at).alias("rank_reasons")))
+
     return rows.select(
         "message_id", F.length("text").alias("n_chars"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("n_lines"),
         tx.sanitize_actions(F.col("raw")).alias("actions"), (F.length("raw") - F.length("sanitized")).alias("removed_count"),
-        F.size(phones.accepted(F.col("candidates"))).alias("phone_count"), facts.alias("phones"),
+        F.size(phones.accepted(F.col("candidates"))).alias("phone_count"), tx.let(chosen, facts).alias("phones"),
         F.transform(spans.assemble(F.col("tokens")), lambda p: F.struct(p["label"].alias("label"), p["start"].alias("start"), p["end"].alias("end"))).alias("spans"),
     )
 

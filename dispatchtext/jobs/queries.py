@@ -114,16 +114,35 @@ def t4_block_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def block_spans(pages: DataFrame) -> DataFrame:
     """page_id, kind, ordinal (from 0 by kind), start and end in html of every removed script and style block."""
-    steps = tx.removal_steps(F.col("html"))
-    rows = pages.select("page_id", F.size(steps[0]).alias("scripts"), F.posexplode(tx.raw_blocks(steps)).alias("at", "block"))
+    rows = pages.select("page_id", *[s.alias(f"s{i}") for i, s in enumerate(tx.removal_steps(F.col("html")))])
+    rows = rows.select("page_id", F.size("s0").alias("scripts"), F.posexplode_outer(tx.raw_blocks([F.col(f"s{i}") for i in range(3)])).alias("at", "block"))
     style = F.col("at") >= F.col("scripts")
-    return rows.select(
+    return rows.filter("block is not null").select(  # outer: no filter that finds the blocks again
         "page_id", F.when(style, "style").otherwise("script").alias("kind"), (F.col("at") - F.when(style, F.col("scripts")).otherwise(0)).alias("ordinal"),
         F.col("block.start").alias("start"), F.col("block.end").alias("end"),
     )
 
 
-@query()
+def _cut(source: str, tag: str) -> str:
+    """Matches f of a block pattern in html of source, the stretches g between them, and what is left as html."""
+    pattern = f"'(?is)<{tag}[^>]*>.*?</{tag}>'"
+    return f"(select *, array_to_string(g, '') as rest from (select *, regexp_extract_all(html, {pattern}) as f, string_split_regex(html, {pattern}) as g from {source}) x)"
+
+
+def _blocks(source: str) -> str:
+    """One row per match: ordinal, place a and size in the text that was matched, place kept in what is left."""
+    return f"""(select *, cast(i - 1 as int) as ordinal, kept + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) as a, length(f[i]) as size from (
+      select *, list_sum(list_transform(g[1:i], lambda x: length(x))) as kept from (select *, unnest(generate_series(1, len(f))) as i from {source}) u) v)"""
+
+
+_SCRIPTS = _blocks(_cut("pages", "script"))
+_STYLES = _blocks(_cut(f"(select page_id, rest as html from {_cut('pages', 'script')} y)", "style"))
+_RAW = "{} + coalesce((select sum(scripts.size) from scripts where scripts.page_id = styles.page_id and scripts.kept <= {}), 0)"
+
+
+@query(f"""with scripts as (select page_id, ordinal, kept, a, size from {_SCRIPTS} w), styles as (select page_id, ordinal, a, size from {_STYLES} w)
+  select page_id, 'script' as kind, ordinal, cast(a as int) as start, cast(a + size as int) as "end" from scripts
+  union all select page_id, 'style', ordinal, cast({_RAW.format("styles.a", "styles.a")} as int), cast({_RAW.format("styles.a + styles.size - 1", "styles.a + styles.size - 1")} + 1 as int) from styles""")
 def t4_all_block_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_spans(_t(spark, sf_dir, "pages"))
 

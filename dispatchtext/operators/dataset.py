@@ -103,7 +103,7 @@ def response_examples(response: Column) -> Column:
 
 def examples_from_responses(responses: DataFrame) -> DataFrame:
     """response_id, ordinal, text (masked), entities, reason, valid: one row per example; an answer that does not parse has none."""
-    rows = responses.select("response_id", F.posexplode(response_examples(F.col("response_text"))).alias("ordinal", "x"))
+    rows = responses.select("response_id", F.posexplode_outer(response_examples(F.col("response_text"))).alias("ordinal", "x")).filter("x is not null")  # outer: no filter that reads answers again
     return rows.select("response_id", "ordinal", "x.text", "x.entities", "x.reason", F.col("x.reason").isNull().alias("valid"))
 
 
