@@ -1,12 +1,14 @@
 """Toxicity by compression distance: zstandard dictionaries trained on toxic and on ordinary text, window lengths compared.
 
 Training documents fall into clusters of similar text (languages, mostly); labels only say which clusters hold too few
-documents of a class and join the most similar one. In each cluster both classes are dealt into FOLDS parts, and on each part zstandard trains a dictionary of its own from the whole texts.
+documents of a class and join the most similar one. In each cluster both classes are dealt into FOLDS + 1 parts, and on each part zstandard trains a dictionary of its own from the whole texts.
 A window is one word between its spaces, every byte stretched to two, so that a match of a short word outweighs the
 cost of coding it. A word's distance is the number of bytes that the toxic dictionary saves on the window over the
 ordinary one, the least over the FOLDS pairs: what toxic text has in common shows in every pair, what a dictionary
 holds by chance in one. A document's distances (the largest, how many reach each of STEPS, how many words there are)
-give a score by a logistic calibration on labelled documents that no dictionary has seen.
+give a score by a logistic calibration: weights that all clusters share, and deviations of each cluster that a stronger
+ridge holds near zero. It learns from every training document, each measured by the pairs of the FOLDS parts that it
+is not in; scoring uses the pairs of the first FOLDS parts.
 
 Training takes at most max_train documents per class, the first by a hash of the key; texts over MAX_TRAIN_CHARS are
 not trained on. Scoring reads every whole text.
@@ -29,12 +31,12 @@ from .common import crc_mod, slices, table, tidy
 from .words import batch_words
 
 MAX_TRAIN, MAX_TRAIN_CHARS = 3500, 20_000
-#: Clusters of the training documents at first, and parts of each class in a cluster; a cluster with fewer than MIN_DOCS a
+#: Clusters of the training documents at first, and pairs that measure a document; a cluster with fewer than MIN_DOCS a
 #: class and part joins the most similar one.
 CLUSTERS, FOLDS, MIN_DOCS = 16, 3, 3
-#: Every CALIBRATE-th document is kept for the calibration.
-CALIBRATE = 4
-ORDINARY_BYTES, TOXIC_BYTES = 64 << 10, 32 << 10
+#: Ridges of the calibration: on weights that all clusters share, and on the deviations of one cluster.
+RIDGE, OWN_RIDGE = 0.05, 0.5
+ORDINARY_BYTES, TOXIC_BYTES = 112 << 10, 64 << 10
 #: Distances that words are counted by; below the first a word counts for nothing.
 STEPS = (2, 3, 4, 5, 6, 8)
 #: Words whose distances are kept while a task runs; the cache starts anew beyond that (results do not change).
@@ -96,7 +98,7 @@ def merged(sides: list[np.ndarray], c: np.ndarray) -> tuple[np.ndarray, list[np.
     names = list(range(len(c)))
     while len(names) > 1:
         counts = [min(int((own == j).sum()) for own in of) for j in names]
-        if min(counts) >= MIN_DOCS * FOLDS:
+        if min(counts) >= MIN_DOCS * (FOLDS + 1):
             break
         j = names[int(np.argmin(counts))]
         to = max((i for i in names if i != j), key=lambda i: c[i] @ c[j])
@@ -121,7 +123,7 @@ def dictionary(docs: list[list[str]], size: int) -> bytes:
 
 @dataclass
 class Model:
-    """centres of the clusters; per cluster FOLDS pairs (ordinary, toxic); weights of the calibration."""
+    """centres of the clusters; per cluster FOLDS pairs (ordinary, toxic); weights of the calibration, shared ones first."""
 
     centres: np.ndarray
     pairs: list[list[tuple[bytes, bytes]]]
@@ -161,7 +163,10 @@ class Model:
             known[word] = got
         return got
 
-    def features(self, texts: pa.Array) -> np.ndarray:
+    def clusters(self, texts: pa.Array) -> np.ndarray:
+        return (profiles(texts) @ self.centres.T).argmax(1) if len(self.centres) else np.zeros(len(texts), np.int64)
+
+    def features(self, texts: pa.Array, clusters: np.ndarray) -> np.ndarray:
         """Largest distance, logarithms of the numbers of distinct words that reach each of STEPS, and of all distinct words, by text."""
         out = np.zeros((len(texts), 2 + len(STEPS)))
         if not self.pairs or not len(texts):
@@ -169,10 +174,9 @@ class Model:
         words, index, bounds = batch_words(texts)
         if not words or not len(index):
             return out
-        cluster = (profiles(texts) @ self.centres.T).argmax(1)
         doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
         doc, word = np.divmod(np.unique(doc * np.int64(len(words)) + index), len(words))
-        pair, place = np.unique(cluster[doc] * np.int64(len(words)) + word, return_inverse=True)
+        pair, place = np.unique(clusters[doc] * np.int64(len(words)) + word, return_inverse=True)
         at, of = np.divmod(pair, len(words))
         gain = np.fromiter((self.distance(c, words[w]) for c, w in zip(at.tolist(), of.tolist())), np.int64, len(pair))[place]
         np.maximum.at(out[:, 0], doc, gain)
@@ -181,17 +185,25 @@ class Model:
         out[:, -1] = np.log1p(np.bincount(doc, minlength=len(texts)))
         return out
 
-    def scores(self, features: np.ndarray) -> np.ndarray:
+    def scores(self, texts: pa.Array) -> np.ndarray:
         if not self.weights:
-            return np.zeros(len(features))
-        z = np.column_stack([np.ones(len(features)), features]) @ np.array(self.weights)
+            return np.zeros(len(texts))
+        clusters = self.clusters(texts)
+        z = design(self.features(texts, clusters), clusters, len(self.pairs)) @ np.array(self.weights)
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Logistic weights (intercept first) by Newton steps with a small ridge; classes count as they occur."""
-    x = np.column_stack([np.ones(len(x)), x])
-    w, ridge = np.zeros(x.shape[1]), np.diag([1e-6, *[0.05] * (x.shape[1] - 1)])
+def design(features: np.ndarray, clusters: np.ndarray, n: int) -> np.ndarray:
+    """A one and the features, then the same in the columns of the document's own cluster and 0 in those of the others."""
+    base = np.column_stack([np.ones(len(features)), features])
+    own = (clusters[:, None] == np.arange(n))[:, :, None] * base[:, None, :]
+    return np.concatenate([base, own.reshape(len(base), -1)], axis=1)
+
+
+def _calibrate(features: np.ndarray, clusters: np.ndarray, n: int, y: np.ndarray) -> tuple[float, ...]:
+    """Logistic weights of design()'s columns by Newton steps; classes count as they occur."""
+    x, k = design(features, clusters, n), features.shape[1] + 1
+    w, ridge = np.zeros(x.shape[1]), np.diag([1e-6, *[RIDGE] * (k - 1), *[OWN_RIDGE] * (k * n)])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
         step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
@@ -222,19 +234,26 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
     """A model from labelled texts. Both classes count by their share in what is given, after near copies are dropped."""
     sides = [distinct_texts(toxic), distinct_texts(ordinary)]
     model = Model(np.zeros((0, PAIR_BINS), np.float32), [])
-    kept = [[t for i, t in enumerate(side) if i % CALIBRATE] for side in sides]
-    held = [side[::CALIBRATE] for side in sides]
-    if not all(kept):
+    if not all(sides):
         return model
-    x = [profiles(pa.array(side, pa.string())) for side in kept]
+    x = [profiles(pa.array(side, pa.string())) for side in sides]
     model.centres, of = merged(x, centres(np.concatenate(x)))
-    for j in range(len(model.centres)):
-        parts = [[distinct_words(t) for t, a in zip(side, own) if a == j] for side, own in zip(kept, of)]
-        model.pairs.append([(dictionary(parts[1][i::FOLDS], ORDINARY_BYTES), dictionary(parts[0][i::FOLDS], TOXIC_BYTES)) for i in range(FOLDS)])
-    model.prepare()
-    features = np.concatenate([model.features(pa.array(side, pa.string())) for side in held])
-    model.weights = _calibrate(features, np.repeat([1.0, 0.0], [len(held[0]), len(held[1])]))
-    model.clear()
+    n, parts = len(model.centres), FOLDS + 1
+    # Place of each document in its class and cluster, modulo parts.
+    part = [np.array([(own[:i] == a).sum() for i, a in enumerate(own)]) % parts for own in of]
+    words = [[distinct_words(t) for t in side] for side in sides]
+    pairs = [[tuple(dictionary([w for w, a, p in zip(words[y], of[y], part[y]) if a == j and p == i], size) for y, size in ((1, ORDINARY_BYTES), (0, TOXIC_BYTES))) for i in range(parts)] for j in range(n)]
+    features, clusters, answers = [], [], []
+    for i in range(parts):
+        others = Model(model.centres, [own[:i] + own[i + 1 :] for own in pairs])
+        others.prepare()
+        for y in (0, 1):
+            texts, own = pa.array([t for t, p in zip(sides[y], part[y]) if p == i], pa.string()), of[y][part[y] == i]
+            features.append(others.features(texts, own))
+            clusters.append(own)
+            answers.append(np.full(len(own), 1.0 - y))
+    model.pairs = [own[:FOLDS] for own in pairs]
+    model.weights = _calibrate(np.concatenate(features), np.concatenate(clusters), n, np.concatenate(answers))
     return model
 
 
@@ -257,7 +276,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
 def _scored(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     model.prepare()
     for part in slices(batches, "text"):
-        yield part, model.scores(model.features(part.column("text")))
+        yield part, model.scores(part.column("text"))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

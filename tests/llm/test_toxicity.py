@@ -52,13 +52,29 @@ def test_features_by_hand():
     model = toxicity.fit(texts(rnd, 100, WORDS, ["blargface"]), texts(rnd, 300, WORDS))
     model.prepare()
     rows = ["", None, "  ", "blargface alpha blargface", " ".join(texts(rnd, 3, WORDS))]
-    got = model.features(pa.array(rows, pa.string()))
+    column = pa.array(rows, pa.string())
+    assert len(model.pairs) == 1
+    got = model.features(column, model.clusters(column))
     for text, own in zip(rows, got):
         gains = [model.distance(0, w) for w in toxicity.distinct_words(text or "")]
         want = [max(gains, default=0), *(np.log1p(sum(g >= s for g in gains)) for s in toxicity.STEPS), np.log1p(len(gains))]
         assert np.allclose(own, want)
 
 
+def test_calibration_shares_weights_and_lets_clusters_deviate():
+    """Equal features mean different things in two clusters: shared weights alone cannot tell them apart."""
+    rng = np.random.default_rng(1)
+    clusters, x = rng.integers(0, 2, 2000), rng.normal(size=(2000, 2))
+    y = (x[:, 0] > np.where(clusters == 0, 1.0, -1.0)).astype(float)
+    wide = toxicity.design(x, clusters, 2)
+    assert wide.shape == (2000, 9) and np.array_equal(wide[:, :3], np.column_stack([np.ones(2000), x]))
+    assert all(not wide[clusters == 1 - j, 3 + 3 * j : 6 + 3 * j].any() and np.array_equal(wide[clusters == j, 3 + 3 * j : 6 + 3 * j], wide[clusters == j, :3]) for j in (0, 1))
+    z = wide @ np.array(toxicity._calibrate(x, clusters, 2, y))
+    assert ((z > 0) == (y == 1)).mean() > 0.98
+    shared = np.zeros(2000, np.int64)
+    assert ((toxicity.design(x, shared, 1) @ np.array(toxicity._calibrate(x, shared, 1, y)) > 0) == (y == 1)).mean() < 0.9
+
+
 def test_held_out_labels_by_language(spark):
     """On the larger sample table, which holds too few toxic documents of fr and es to learn from."""
     sf = "/root/testdata/sf0.1"
