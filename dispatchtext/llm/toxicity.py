@@ -7,8 +7,9 @@ cost of coding it. A word's distance is the number of bytes that the toxic dicti
 ordinary one, the least over the FOLDS pairs: what toxic text has in common shows in every pair, what a dictionary
 holds by chance in one. A document's distances (the largest, how many reach each of STEPS, how many words there are)
 give a score by a logistic calibration: weights that all clusters share, and deviations of each cluster that a stronger
-ridge holds near zero. It learns from every training document, each measured by the pairs of the FOLDS parts that it
-is not in; scoring uses the pairs of the first FOLDS parts.
+ridge holds near zero. It learns from up to CALIBRATE training documents a class and cluster, each measured by the
+pairs of the FOLDS parts that it is not in and weighted by how many it stands for; scoring uses the pairs of the first
+FOLDS parts.
 
 Training takes at most max_train documents per class, the first by a hash of the key; texts over MAX_TRAIN_CHARS are
 not trained on. Scoring reads every whole text.
@@ -34,6 +35,8 @@ MAX_TRAIN, MAX_TRAIN_CHARS = 3500, 20_000
 #: Clusters of the training documents at first, and pairs that measure a document; a cluster with fewer than MIN_DOCS a
 #: class and part joins the most similar one.
 CLUSTERS, FOLDS, MIN_DOCS = 16, 3, 3
+#: Documents of a class and cluster that the calibration measures at most.
+CALIBRATE = 240
 #: Ridges of the calibration: on weights that all clusters share, and on the deviations of one cluster.
 RIDGE, OWN_RIDGE = 0.05, 0.5
 ORDINARY_BYTES, TOXIC_BYTES = 112 << 10, 64 << 10
@@ -200,13 +203,13 @@ def design(features: np.ndarray, clusters: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([base, own.reshape(len(base), -1)], axis=1)
 
 
-def _calibrate(features: np.ndarray, clusters: np.ndarray, n: int, y: np.ndarray) -> tuple[float, ...]:
-    """Logistic weights of design()'s columns by Newton steps; classes count as they occur."""
+def _calibrate(features: np.ndarray, clusters: np.ndarray, n: int, y: np.ndarray, count: np.ndarray) -> tuple[float, ...]:
+    """Logistic weights of design()'s columns by Newton steps; a row counts as `count` documents."""
     x, k = design(features, clusters, n), features.shape[1] + 1
     w, ridge = np.zeros(x.shape[1]), np.diag([1e-6, *[RIDGE] * (k - 1), *[OWN_RIDGE] * (k * n)])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve((x * (count * p * (1 - p) + 1e-9)[:, None]).T @ x + ridge, x.T @ (count * (y - p)) - ridge @ w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
@@ -239,21 +242,25 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
     x = [profiles(pa.array(side, pa.string())) for side in sides]
     model.centres, of = merged(x, centres(np.concatenate(x)))
     n, parts = len(model.centres), FOLDS + 1
-    # Place of each document in its class and cluster, modulo parts.
-    part = [np.array([(own[:i] == a).sum() for i, a in enumerate(own)]) % parts for own in of]
+    # Place of each document in its class and cluster; its part is that modulo parts.
+    place = [np.array([(own[:i] == a).sum() for i, a in enumerate(own)]) for own in of]
+    part = [own % parts for own in place]
+    size = [np.bincount(own, minlength=n) for own in of]
     words = [[distinct_words(t) for t in side] for side in sides]
-    pairs = [[tuple(dictionary([w for w, a, p in zip(words[y], of[y], part[y]) if a == j and p == i], size) for y, size in ((1, ORDINARY_BYTES), (0, TOXIC_BYTES))) for i in range(parts)] for j in range(n)]
-    features, clusters, answers = [], [], []
+    pairs = [[tuple(dictionary([w for w, a, p in zip(words[y], of[y], part[y]) if a == j and p == i], most) for y, most in ((1, ORDINARY_BYTES), (0, TOXIC_BYTES))) for i in range(parts)] for j in range(n)]
+    features, clusters, answers, count = [], [], [], []
     for i in range(parts):
         others = Model(model.centres, [own[:i] + own[i + 1 :] for own in pairs])
         others.prepare()
         for y in (0, 1):
-            texts, own = pa.array([t for t, p in zip(sides[y], part[y]) if p == i], pa.string()), of[y][part[y] == i]
+            at = np.flatnonzero((part[y] == i) & (place[y] < CALIBRATE))
+            texts, own = pa.array([sides[y][a] for a in at], pa.string()), of[y][at]
             features.append(others.features(texts, own))
             clusters.append(own)
             answers.append(np.full(len(own), 1.0 - y))
+            count.append(np.maximum(size[y] / CALIBRATE, 1.0)[own])
     model.pairs = [own[:FOLDS] for own in pairs]
-    model.weights = _calibrate(np.concatenate(features), np.concatenate(clusters), n, np.concatenate(answers))
+    model.weights = _calibrate(np.concatenate(features), np.concatenate(clusters), n, np.concatenate(answers), np.concatenate(count))
     return model
 
 

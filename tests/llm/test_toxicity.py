@@ -69,10 +69,10 @@ def test_calibration_shares_weights_and_lets_clusters_deviate():
     wide = toxicity.design(x, clusters, 2)
     assert wide.shape == (2000, 9) and np.array_equal(wide[:, :3], np.column_stack([np.ones(2000), x]))
     assert all(not wide[clusters == 1 - j, 3 + 3 * j : 6 + 3 * j].any() and np.array_equal(wide[clusters == j, 3 + 3 * j : 6 + 3 * j], wide[clusters == j, :3]) for j in (0, 1))
-    z = wide @ np.array(toxicity._calibrate(x, clusters, 2, y))
+    z = wide @ np.array(toxicity._calibrate(x, clusters, 2, y, np.ones(2000)))
     assert ((z > 0) == (y == 1)).mean() > 0.98
     shared = np.zeros(2000, np.int64)
-    assert ((toxicity.design(x, shared, 1) @ np.array(toxicity._calibrate(x, shared, 1, y)) > 0) == (y == 1)).mean() < 0.9
+    assert ((toxicity.design(x, shared, 1) @ np.array(toxicity._calibrate(x, shared, 1, y, np.ones(2000))) > 0) == (y == 1)).mean() < 0.9
 
 
 def test_held_out_labels_by_language(spark):
