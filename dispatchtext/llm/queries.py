@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage. SQL cannot express these operators; the tests hold them against brute force."""
+"""The registered queries of this subpackage. Where SQL cannot express an operator, the tests hold it against brute force."""
 
 from __future__ import annotations
 
@@ -12,13 +12,14 @@ from .media import op7_media
 from .packing import op9_packing
 from .pieces import op6_sentencepiece
 from .quality import op10_quality
+from .resampling import OP13_SQL, op13_resampling
 from .resharding import op8_resharding
 from .simhash import op1_simhash
 from .token_store import op2_token_store
 from .toxicity import op5_toxicity
 
 _ALL = (
-    op1_simhash, op2_token_store, op3_html, op4_language, op5_toxicity, op6_sentencepiece, op7_media, op8_resharding, op9_packing, op10_quality,
+    op1_simhash, op2_token_store, op3_html, op4_language, op5_toxicity, op6_sentencepiece, op7_media, op8_resharding, op9_packing, op10_quality, op13_resampling,
 )
 
 
@@ -27,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_resampling": OP13_SQL}
