@@ -87,6 +87,29 @@ def assemble(tokens: Column) -> Column:
     return F.aggregate(tokens, zero, step, flush)
 
 
+def chunk_set(tokens: Column, label: str = "label") -> Column:
+    """Strict chunks (type, first, last) of an array of tokens with tok_idx and a label, in order, folded within the row.
+
+    The rule of strict_chunks: a B label opens a chunk, I labels of its type extend it; what opens without a B is none.
+    """
+    kind = "struct<type:string,first:bigint,last:bigint>"
+    zero = F.struct(F.lit(None).cast("string").alias("type"), F.lit(False).alias("strict"), F.lit(None).cast("bigint").alias("first"), F.lit(None).cast("bigint").alias("last"), empty(kind).alias("out"))
+
+    def closed(acc: Column) -> Column:
+        chunk = F.struct(acc["type"].alias("type"), acc["first"].alias("first"), acc["last"].alias("last"))
+        return F.when(acc["strict"], F.concat(acc["out"], F.array(chunk))).otherwise(acc["out"])
+
+    def step(acc: Column, t: Column) -> Column:
+        own, at = F.when(t[label] != "O", F.substring(t[label], 3, 100)), t["tok_idx"].cast("bigint")
+        on = F.coalesce(~t[label].startswith("B-") & (acc["type"] == own), F.lit(False))
+        return F.struct(
+            own.alias("type"), F.when(on, acc["strict"]).otherwise(F.coalesce(t[label].startswith("B-"), F.lit(False))).alias("strict"),
+            F.when(on, acc["first"]).otherwise(at).alias("first"), at.alias("last"), F.when(on, acc["out"]).otherwise(closed(acc)).alias("out"),
+        )
+
+    return F.aggregate(tokens, zero, step, closed)
+
+
 def overlaps(start: Column, end: Column, others: Column) -> Column:
     return F.exists(others, lambda o: F.greatest(start, o["start"]) < F.least(end, o["end"]))
 
@@ -140,6 +163,11 @@ def promote_notes(addr: Column, note: Column) -> Column:
     return F.when(F.size(addr) > 0, addr).otherwise(F.filter(note, lambda n: address_evidence(n["text"])))
 
 
+def unpromoted_notes(addr: Column, note: Column) -> Column:
+    """Notes that are left when those with address evidence became addresses."""
+    return F.when(F.size(addr) > 0, note).otherwise(F.filter(note, lambda n: ~address_evidence(n["text"])))
+
+
 # Long form: example_id, tok_idx, start, end, label.
 
 

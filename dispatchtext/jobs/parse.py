@@ -8,15 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import phones, resolve, spans
 from ..functions import text as tx
+from ..functions.payload import decode_payload  # noqa: F401  (a step of the same job)
 
 MAX_CHARS = 5000
+#: Tokens that a model sees of a text, its two marks included; texts scored at a time.
+POSITIONS = 512
+SCORED_TOGETHER = 32
 
 
 def validate(text: Column, debug: Column | None = None, debug_allowed: bool = True, scorer_ready: bool = True, max_chars: int = MAX_CHARS) -> Column:
@@ -27,14 +32,6 @@ def validate(text: Column, debug: Column | None = None, debug_allowed: bool = Tr
     return out if scorer_ready else out.when(F.lit(True), "model_not_ready")
 
 
-def decode_payload(payload: Column) -> tuple[Column, Column, Column]:
-    """(text, debug, error code) of a strict JSON payload: text must be there, no other key than debug."""
-    keys = F.json_object_keys(payload)
-    body = F.from_json(payload, "text string, debug boolean")
-    bad = keys.isNull() | ~F.array_contains(keys, "text") | (F.size(F.array_except(keys, F.array(F.lit("text"), F.lit("debug")))) > 0)
-    return F.when(~bad, body["text"]), F.when(~bad, F.coalesce(body["debug"], F.lit(False))), F.when(F.coalesce(bad, F.lit(True)), F.lit("invalid_input"))
-
-
 def prepare(messages: DataFrame) -> DataFrame:
     """Adds error_code, sanitized, phone candidates and masked text; rejected rows are not sanitized (the length bounds the patterns)."""
     rows = messages.withColumn("error_code", validate(F.col("text")))
@@ -62,13 +59,10 @@ def presence(results: DataFrame) -> DataFrame:
     return results.select("message_id", *[F.col(c).isNotNull().alias(f"{c}_present") for c in PRESENT])
 
 
-def parse(rows: DataFrame, promote: bool = False) -> DataFrame:
-    """prepare()'s rows with `tokens` to one result each: message_id, four fields, phone_count, status_code, error_code, error_message.
-
-    An invalid phone never fails a message. promote: where no address was labelled, notes that look like one count.
-    """
+def located(rows: DataFrame, *keep: str) -> DataFrame:
+    """prepare()'s rows with `tokens` to the candidates that no rule drops, per, addr and notes, in places of the raw text."""
     steps = tx.removal_steps(F.col("raw"))
-    rows = rows.select("message_id", "raw", "sanitized", "candidates", "masked", "tokens", "error_code", *[s.alias(f"step{i}") for i, s in enumerate(steps)])
+    rows = rows.select("message_id", "raw", "sanitized", "candidates", "masked", "tokens", "error_code", *keep, *[s.alias(f"step{i}") for i, s in enumerate(steps)])
     steps = [F.col(f"step{i}") for i in range(3)]
     rows = phone_columns(rows).withColumn("pieces", spans.assemble(F.col("tokens"))).withColumn("masks", phones.masked_spans(F.col("candidates")))
     rows = rows.withColumn("blocks", tx.raw_blocks(steps))
@@ -79,9 +73,17 @@ def parse(rows: DataFrame, promote: bool = False) -> DataFrame:
 
     found = spans.candidates(F.col("pieces"), F.col("raw"), back, F.col("masks"), F.col("blocks"))
     rows = rows.select("*", *[c.alias(n) for n, c in found.items()])
-    rows = rows.withColumn("notes", spans.drop_notes_on_addresses(F.col("note"), F.col("addr")))
+    return rows.withColumn("notes", spans.drop_notes_on_addresses(F.col("note"), F.col("addr")))
+
+
+def parse(rows: DataFrame, promote: bool = False) -> DataFrame:
+    """prepare()'s rows with `tokens` to one result each: message_id, four fields, phone_count, status_code, error_code, error_message.
+
+    An invalid phone never fails a message. promote: where no address was labelled, notes that look like one count.
+    """
+    rows = located(rows)
     if promote:
-        rows = rows.withColumn("addr", spans.promote_notes(F.col("addr"), F.col("notes")))
+        rows = rows.withColumns({"addr": spans.promote_notes(F.col("addr"), F.col("notes")), "notes": spans.unpromoted_notes(F.col("addr"), F.col("notes"))})
     rows = rows.withColumn("address", resolve.address(F.col("addr")))
     rows = rows.withColumn("error_code", F.coalesce("error_code", F.when(F.col("address").isNull(), "address_not_found")))
     good = F.col("error_code").isNull()
@@ -94,33 +96,47 @@ def parse(rows: DataFrame, promote: bool = False) -> DataFrame:
 
 
 def telemetry(rows: DataFrame) -> DataFrame:
-    """Counts and offsets of prepared rows, no text: message_id, n_chars, n_lines, actions, removed_count, phone_count, phones, spans."""
+    """Counts and offsets of prepared rows with `tokens`, no text: message_id, n_chars, n_lines, actions, removed_count, phone_count, phones, spans.
+
+    spans: label, start and end in the raw text of the candidates that no rule drops, names first, then addresses, then notes.
+    """
+    rows = located(rows, "text")
     chosen = phones.selected(F.col("candidates"))["start"]
 
     def facts(at: Column) -> Column:
         return F.transform("candidates", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["reject_reason"].isNull().alias("accepted"), F.coalesce(c["start"] == at, F.lit(False)).alias("selected"), c["reject_reason"].alias("reject_reason"), phones.rank_reasons(c, at).alias("rank_reasons")))
 
+    def places(label: str, found: str) -> Column:
+        return F.transform(found, lambda x: F.struct(F.lit(label).alias("label"), x["start"].alias("start"), x["end"].alias("end")))
+
     return rows.select(
         "message_id", F.length("text").alias("n_chars"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("n_lines"),
         tx.sanitize_actions(F.col("raw")).alias("actions"), (F.length("raw") - F.length("sanitized")).alias("removed_count"),
         F.size(phones.accepted(F.col("candidates"))).alias("phone_count"), tx.let(chosen, facts).alias("phones"),
-        F.transform(spans.assemble(F.col("tokens")), lambda p: F.struct(p["label"].alias("label"), p["start"].alias("start"), p["end"].alias("end"))).alias("spans"),
+        F.concat(places("PER", "per"), places("ADDR", "addr"), places("NOTE", "notes")).alias("spans"),
     )
 
 
-def score_tokens(rows: DataFrame, load: Callable[[], Callable[[list[str]], list[list[dict]]]]) -> DataFrame:
+def score_tokens(rows: DataFrame, load: Callable[[], Callable[[list[str]], list[list[dict]]]], positions: int = POSITIONS, batch: int = SCORED_TOGETHER) -> DataFrame:
     """Adds `tokens` by a scorer: load() runs once per Python worker and returns texts -> token rows (start, end, token, label).
 
-    Rows without masked text (rejected ones) get no tokens and never reach the scorer.
+    Rows without masked text (rejected ones) get no tokens and never reach the scorer. Within an Arrow batch, texts go to the
+    scorer in order of length, `batch` at a time, so that little is padding; rows keep their order. A model sees `positions`
+    tokens, two of them its own marks: tokens beyond are dropped.
     """
-    held: list = []
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not held:
+    kind, held = T.ArrayType(T.StructType.fromDDL(spans.TOKEN[7:-1])), []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in batches:
+            texts = piece.column("masked").to_pylist()
+            order = sorted((i for i, t in enumerate(texts) if t), key=lambda i: len(texts[i]))
+            tokens: list[list[dict]] = [[] for _ in texts]
+            if order and not held:
                 held.append(load())
-            texts = [t for t in pdf["masked"] if t]
-            scored = iter(held[0](texts) if texts else [])
-            yield pdf.assign(tokens=[next(scored) if t else [] for t in pdf["masked"]])
+            for low in range(0, len(order), batch):
+                together = order[low : low + batch]
+                for i, found in zip(together, held[0]([texts[i] for i in together])):
+                    tokens[i] = found[: positions - 2]
+            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(tokens, to_arrow_type(kind))], [*piece.schema.names, "tokens"])
 
-    return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField("tokens", T.ArrayType(T.StructType.fromDDL(spans.TOKEN[7:-1])))]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("tokens", kind)]))

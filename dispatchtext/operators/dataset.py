@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.phones import mask_generated
 from ..functions.spans import TYPES
 from ..functions.text import let, trim
+from .order_statistics import with_percentiles
 
 ENTITY = "struct<start:int,end:int,label:string>"
 RESPONSE = "examples array<struct<text:string,entities:array<struct<substring:string,label:string>>>>"
@@ -175,4 +176,6 @@ def dataset_stats(examples: DataFrame) -> DataFrame:
         return F.sum(F.size(F.filter("entities", lambda e: e["label"] == kind))).alias(f"n_{kind.lower()}")
 
     per_label = [count(t) for t in TYPES]
-    return examples.groupBy("split").agg(F.count("*").alias("n"), F.avg(F.length("text")).alias("mean_chars"), F.percentile(F.length("text"), F.lit(0.95)).alias("p95_chars"), *per_label)
+    rows = examples.withColumn("n_chars", F.length("text"))
+    counts = rows.groupBy("split").agg(F.count("*").alias("n"), F.avg("n_chars").alias("mean_chars"), *per_label)
+    return with_percentiles(counts, rows, ["split"], "n_chars", interpolated={"p95_chars": 0.95})

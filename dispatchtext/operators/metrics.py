@@ -2,33 +2,57 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import TYPES, strict_chunks
+from ..functions.spans import TYPES, chunk_set
+from .order_statistics import with_percentiles
 
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a / F.when(b != 0, b))
 
 
+def scored_examples(examples: DataFrame) -> DataFrame:
+    """One row of counts from examples with `tokens`, arrays of tok_idx, gold and pred in order: for each type, chunks that both sides have, and those of each.
+
+    Each example is folded where it lies; nothing but sums leaves a task.
+    """
+    rows = examples.select(*[chunk_set(F.col("tokens"), side).alias(side) for side in ("gold", "pred")])
+    rows = rows.select("gold", "pred", F.array_intersect("gold", "pred").alias("both"))
+    sides = (("both", "tp"), ("gold", "n_gold"), ("pred", "n_pred"))
+
+    def total(side: str, kind: str) -> Column:
+        return F.coalesce(F.sum(F.size(F.filter(side, lambda c: c["type"] == kind))), F.lit(0))
+
+    return rows.agg(*[total(side, t).alias(f"{t}_{name}") for t in TYPES for side, name in sides])
+
+
 def entity_scores(tokens: DataFrame) -> DataFrame:
     """type (PER, ADDR, NOTE, micro, macro), tp, n_gold, n_pred, precision, recall, f1 from tokens with `gold` and `pred`.
 
     Strict chunks match on example, type, first and last token. A zero division gives 0; macro is the plain
-    mean over the three types, present or not.
+    mean over the three types, present or not. Tokens meet once, by example; the rest is folds within a row.
     """
-    keys = ["example_id", "type", "first_tok", "last_tok"]
-    sides = tokens.withColumns({"start": F.col("tok_idx"), "end": F.col("tok_idx")})
-    gold = strict_chunks(sides, "gold").withColumn("g", F.lit(1))
-    pred = strict_chunks(sides, "pred").withColumn("p", F.lit(1))
-    counts = gold.join(pred, keys, "full").groupBy("type").agg(F.count_if(F.col("g").isNotNull() & F.col("p").isNotNull()).alias("tp"), F.count("g").alias("n_gold"), F.count("p").alias("n_pred"))
-    all_types = tokens.sparkSession.createDataFrame([(t,) for t in TYPES], "type string")
-    per = all_types.join(counts, "type", "left").fillna(0)
-    summed = per.rollup("type").agg(*[F.sum(c).alias(c) for c in ("tp", "n_gold", "n_pred")]).withColumn("type", F.coalesce("type", F.lit("micro")))
-    p, r = _ratio(F.col("tp"), F.col("n_pred")), _ratio(F.col("tp"), F.col("n_gold"))
-    scored = summed.withColumns({"precision": p, "recall": r}).withColumn("f1", _ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
-    macro = scored.filter("type <> 'micro'").agg(F.lit("macro").alias("type"), *[F.sum(c).alias(c) for c in ("tp", "n_gold", "n_pred")], *[F.avg(c).alias(c) for c in ("precision", "recall", "f1")])
+    token = F.struct("tok_idx", "gold", "pred")
+    return score_table(scored_examples(tokens.groupBy("example_id").agg(F.sort_array(F.collect_list(token)).alias("tokens"))))
+
+
+def score_table(counts: DataFrame) -> DataFrame:
+    """The rows of entity_scores from the one row of scored_examples."""
+    names = ("tp", "n_gold", "n_pred")
+
+    def line(kind: str, *types: str) -> Column:
+        return F.struct(F.lit(kind).alias("type"), *[reduce(add, [F.col(f"{t}_{n}") for t in types]).alias(n) for n in names])
+
+    lines = F.array(*[line(t, t) for t in TYPES], line("micro", *TYPES))
+    f = _ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
+    scored = counts.select(F.explode(lines).alias("l")).select("l.*")
+    scored = scored.withColumns({"precision": _ratio(F.col("tp"), F.col("n_pred")), "recall": _ratio(F.col("tp"), F.col("n_gold"))}).withColumn("f1", f)
+    macro = scored.filter("type <> 'micro'").agg(F.lit("macro").alias("type"), *[F.sum(c).alias(c) for c in names], *[F.avg(c).alias(c) for c in ("precision", "recall", "f1")])
     return scored.unionByName(macro)
 
 
@@ -41,16 +65,22 @@ def category(status: Column, error: Column) -> Column:
     return F.when(error.isNotNull() | status.isNull(), "exception").when(status.between(400, 499), "input_error").when(status >= 500, "server_error").otherwise("success")
 
 
+def _completed(records: DataFrame) -> DataFrame:
+    """records with `ms`, the elapsed time of those that got an answer."""
+    done = F.col("error").isNull() & F.col("status_code").isNotNull()
+    return records.withColumns({"done": done, "ms": F.when(done, F.col("elapsed_ms"))})
+
+
 def latency_summary(records: DataFrame, elapsed_s: float, keys: list[str]) -> DataFrame:
     """Counts over all records, percentiles (nearest rank) over completed ones; failed: an error, no status, or 300 and above."""
-    done = F.col("error").isNull() & F.col("status_code").isNotNull()
-    ms = F.when(done, F.col("elapsed_ms"))
-    rank = [F.expr(f"percentile_disc({p}) within group (order by case when error is null and status_code is not null then elapsed_ms end)").alias(n) for n, p in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))]
-    return records.groupBy(*keys).agg(
+    rows = _completed(records)
+    done = F.col("done")
+    counts = rows.groupBy(*keys).agg(
         F.count("*").alias("total"), F.count_if(done).alias("completed"), F.count_if(done & F.col("status_code").between(200, 299)).alias("success"),
         F.count_if(~done | (F.col("status_code") >= 300)).alias("failed"), (F.count("*") / F.lit(elapsed_s)).alias("rps"),
-        F.min(ms).alias("min_ms"), F.avg(ms).alias("mean_ms"), *rank, F.max(ms).alias("max_ms"),
+        F.min("ms").alias("min_ms"), F.avg("ms").alias("mean_ms"), F.max("ms").alias("max_ms"),
     )
+    return with_percentiles(counts, rows, keys, "ms", {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99})
 
 
 def status_histogram(records: DataFrame) -> DataFrame:
@@ -58,19 +88,17 @@ def status_histogram(records: DataFrame) -> DataFrame:
 
 
 def feedback_audit(records: DataFrame) -> DataFrame:
-    done = F.col("error").isNull() & F.col("status_code").isNotNull()
-    return records.groupBy(category(F.col("status_code"), F.col("error")).alias("category")).agg(
-        F.count("*").alias("n"), F.expr("percentile_disc(0.95) within group (order by case when error is null and status_code is not null then elapsed_ms end)").alias("p95_ms"), F.count_if(done).alias("completed")
-    )
+    rows = _completed(records).withColumn("category", category(F.col("status_code"), F.col("error")))
+    counts = rows.groupBy("category").agg(F.count("*").alias("n"), F.count_if("done").alias("completed"))
+    return with_percentiles(counts, rows, ["category"], "ms", {"p95_ms": 0.95})
 
 
 def feedback_summary(records: DataFrame) -> DataFrame:
     """One row: counts in all and by category, and min, mean, p50, p95, p99 and max over completed requests."""
-    kind = category(F.col("status_code"), F.col("error"))
-    ms = F.when(F.col("error").isNull() & F.col("status_code").isNotNull(), F.col("elapsed_ms"))
-    ranks = [F.expr(f"percentile_disc({p}) within group (order by ms)").alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]
+    rows = _completed(records).withColumn("kind", category(F.col("status_code"), F.col("error")))
     counts = [F.count_if(F.col("kind") == k).alias(k) for k in ("success", "input_error", "server_error", "exception")]
-    return records.select(kind.alias("kind"), ms.alias("ms")).agg(F.count("*").alias("total"), *counts, F.min("ms").alias("min_ms"), F.avg("ms").alias("mean_ms"), *ranks, F.max("ms").alias("max_ms"))
+    summary = rows.agg(F.count("*").alias("total"), *counts, F.min("ms").alias("min_ms"), F.avg("ms").alias("mean_ms"), F.max("ms").alias("max_ms"))
+    return with_percentiles(summary, rows, [], "ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 def feedback_listing(records: DataFrame, *kinds: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .jobs import more_queries  # noqa: F401  (registers its queries)
+from .jobs import more_queries, scale_queries  # noqa: F401  (register their queries)
 from .jobs.queries import QUERIES, SQL
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.payload import json_whole
 from ..functions.spans import LABELS
 from ..functions.text import trim
 
@@ -16,14 +18,33 @@ CASE = (
 )
 
 
-def read_examples(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines, a byte-order mark and blank lines skipped; a missing path gives no rows."""
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line, example (null where the line is not one JSON object) and file of JSON lines; a byte-order mark and blank lines are skipped."""
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("line"), F.input_file_name().alias("file"))
+    return lines.filter(F.length(trim(F.col("line"))) > 0).select("line", json_whole(F.col("line"), f"struct<{_fields(EXAMPLE)}>").alias("example"), "file")
+
+
+def _fields(ddl: str) -> str:
+    return ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in T.StructType.fromDDL(ddl).fields)
+
+
+def read_examples(spark: SparkSession, path: str, malformed: str = "stop") -> DataFrame:
+    """Examples of JSON lines; a missing path gives no rows. A malformed line stops the job, or is left out (`drop`): see rejected_lines."""
     try:
-        return spark.read.schema(EXAMPLE).json(path)
+        lines = read_lines(spark, path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], EXAMPLE)
+    good = F.col("example").isNotNull()
+    if malformed == "stop":
+        good = F.when(good, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("malformed line in "), "file", F.lit(": "), F.substring("line", 1, 80))).cast("boolean"))
+    return lines.filter(good).select("example.*")
+
+
+def rejected_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file and line of what is not one JSON object."""
+    return read_lines(spark, path).filter("example is null").select("file", "line")
 
 
 def concat_examples(*frames: DataFrame) -> DataFrame:
@@ -51,7 +72,13 @@ def with_provenance(examples: DataFrame, provider: str, model: str, created_at:
 
 
 def append_examples(examples: DataFrame, path: str) -> None:
-    examples.write.mode("append").json(path)
+    """Add the examples that path does not hold yet, by id and text: the same job run twice leaves each row once.
+
+    Ids have 32 bits, so the text belongs to the key. Rows that come twice within examples are added once.
+    """
+    held = read_examples(examples.sparkSession, path).select(F.col("id").alias("held_id"), F.col("text").alias("held_text"))
+    new = examples.dropDuplicates(["id", "text"]).join(held, F.col("id").eqNullSafe(F.col("held_id")) & F.col("text").eqNullSafe(F.col("held_text")), "left_anti")
+    new.write.mode("append").json(path)
 
 
 def read_cases(spark: SparkSession, path: str, array: bool = False, layer: str | None = None, ids: list[str] | None = None) -> DataFrame:

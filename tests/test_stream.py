@@ -9,7 +9,7 @@ from dispatchtext.functions import text as tx
 from dispatchtext.jobs import messages as msg
 from dispatchtext.jobs.parse import known_entities, parse, prepare, score_tokens
 from dispatchtext.jobs.queries import r5_parse_messages
-from dispatchtext.streaming.parse_stream import parse_stream
+from dispatchtext.streaming.parse_stream import parse_stream, read_parsed
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,7 +26,7 @@ def test_stream_gives_the_rows_of_the_batch(spark, tmp_path):
     stream = spark.readStream.schema(messages.schema).parquet(source)
     parse_stream(stream, label, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     want = r5_parse_messages(spark, SF)
-    got = spark.read.parquet(str(tmp_path / "out")).select(*want.columns)
+    got = read_parsed(spark, str(tmp_path / "out")).select(*want.columns)
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
 
 
