@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import phones, spans
@@ -210,14 +210,21 @@ def n2_decode_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LAB = "split_part('O|B-PER|I-PER|B-ADDR|I-ADDR|B-NOTE|I-NOTE', '|', cast({} % 7 as int) + 1)"
-_GOLD, _PRED = _LAB.format("(k * 31 + i * i * 17 + i)"), _LAB.format("(k * 31 + i * i * 17 + i + case when (k + i) % 5 = 0 then 1 else 0 end)")
+_GOLD_AT = "(k * 31 + i * i * 17 + i)"
+_PRED_AT = "(k * 31 + i * i * 17 + i + case when (k + i) % 5 = 0 then 1 else 0 end)"
+_GOLD, _PRED = _LAB.format(_GOLD_AT), _LAB.format(_PRED_AT)
 TOKENS = f"(select k as example_id, i as tok_idx, {_GOLD} as gold, {_PRED} as pred from (select o_orderkey as k, unnest(generate_series(1, 5 + o_orderkey % 7)) as i from orders) u)"
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """example_id, tok_idx, start, end, gold, pred: label sequences from arithmetic on order keys."""
-    rows = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).select("k", F.explode(F.sequence(F.lit(1).cast("long"), 5 + F.col("k") % 7)).alias("i"))
-    return rows.select(F.col("k").alias("example_id"), F.col("i").alias("tok_idx"), (4 * F.col("i")).alias("start"), (4 * F.col("i") + 3).alias("end"), F.expr(_GOLD).alias("gold"), F.expr(_PRED).alias("pred"))
+    def label(at: str) -> Column:
+        return F.element_at(F.array(*map(F.lit, spans.LABELS)), F.expr(f"cast({at} % {len(spans.LABELS)} as int)") + 1)
+
+    # Keys are dealt out first: a small file is one split.
+    keys = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).repartition(spark.sparkContext.defaultParallelism)
+    rows = keys.select("k", F.explode(F.sequence(F.lit(1).cast("long"), 5 + F.col("k") % 7)).alias("i"))
+    return rows.select(F.col("k").alias("example_id"), F.col("i").alias("tok_idx"), (4 * F.col("i")).alias("start"), (4 * F.col("i") + 3).alias("end"), label(_GOLD_AT).alias("gold"), label(_PRED_AT).alias("pred"))
 
 
 def _islands(label: str) -> str:

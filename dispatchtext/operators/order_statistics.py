@@ -40,15 +40,22 @@ def _aside(keys: list[str]) -> list[Column]:
     return [F.col(k).alias(f"_{k}") for k in keys]
 
 
+def ends(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, n (values that are not null), low and high of each group, written: one row a group."""
+    v = _value(value)
+    return written(rows.groupBy(*keys).agg(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high")), "ends")
+
+
+def _value(value: str) -> Column:
+    return F.col(value).cast("double") + F.lit(0.0)  # one zero
+
+
 def order_statistics(rows: DataFrame, keys: list[str], value: str, ranks: DataFrame) -> DataFrame:
-    """keys, k, value: the k-th smallest value of each group, for the rows of `ranks` (keys, k from 0 and below the group's count)."""
-    values = rows.filter(F.col(value).isNotNull()).select(*keys, (F.col(value).cast("double") + F.lit(0.0)).alias("v"))
-    ends = values.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-    wanted = ranks.select(*_aside(keys), "k").distinct()
-    open_ = ends.join(wanted, _same(keys)).select(*keys, "k", F.col("k").alias("rest"), "n", "low", "high")
+    """keys, k, value: the k-th smallest value of each group. ranks: keys, k (from 0, below n), n, low and high of the group."""
+    values = rows.select(*keys, _value(value).alias("v")).filter("v is not null")
+    open_ = ranks.select(*keys, "k", F.col("k").alias("rest"), "n", "low", "high").distinct()
     done = []
     while True:
-        open_ = written(open_, "ranks")
         one, few = F.col("low") == F.col("high"), F.col("n") <= GATHER
         done.append(open_.filter(one).select(*keys, "k", F.col("low").alias("value")))
         left = open_.filter(~one).agg(F.count_if(few), F.count_if(~few)).first()
@@ -61,7 +68,7 @@ def order_statistics(rows: DataFrame, keys: list[str], value: str, ranks: DataFr
         counted = counted.agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
         upto = F.sum("n").over(Window.partitionBy(*keys, "k", "rest").orderBy("part"))  # BUCKETS rows at most
         counted = counted.withColumn("before", upto - F.col("n")).filter((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("n")))
-        open_ = counted.select(*keys, "k", (F.col("rest") - F.col("before")).alias("rest"), "n", "low", "high")
+        open_ = written(counted.select(*keys, "k", (F.col("rest") - F.col("before")).alias("rest"), "n", "low", "high"), "ranks")
 
 
 def _inside(values: DataFrame, parts: DataFrame, keys: list[str]) -> DataFrame:
@@ -74,15 +81,14 @@ def _inside(values: DataFrame, parts: DataFrame, keys: list[str]) -> DataFrame:
 def percentiles(rows: DataFrame, keys: list[str], value: str, nearest: dict[str, float] | None = None, interpolated: dict[str, float] | None = None) -> DataFrame:
     """keys and a column for each fraction: nearest rank (the value at ceil(p * n)), or interpolated between neighbours."""
     nearest, interpolated = nearest or {}, interpolated or {}
-    counts = rows.groupBy(*keys).agg(F.count(value).alias("n"))
+    groups = ends(rows, keys, value)
     at = {name: F.greatest(F.ceil(F.lit(p) * F.col("n")).cast("long") - 1, F.lit(0)) for name, p in nearest.items()}
     for name, p in interpolated.items():
         place = F.lit(p) * (F.col("n") - 1)
         at |= {f"{name}<": F.floor(place).cast("long"), f"{name}>": F.ceil(place).cast("long")}
-    places = written(counts.select(*keys, "n", *[c.alias(x) for x, c in at.items()]), "places")
-    wide = F.explode(F.array(*[F.struct(F.lit(x).alias("name"), F.col(f"`{x}`").alias("k")) for x in at]))
-    named = places.filter("n > 0").select(*keys, wide.alias("w")).select(*keys, "w.name", "w.k")
-    found = order_statistics(rows, keys, value, named.select(*keys, "k"))
+    wide = F.explode(F.array(*[F.struct(F.lit(x).alias("name"), c.alias("k")) for x, c in at.items()]))
+    named = groups.filter("n > 0").select(*keys, "n", "low", "high", wide.alias("w")).select(*keys, "w.name", "w.k", "n", "low", "high")
+    found = order_statistics(rows, keys, value, named)
     found = found.select(*_aside(keys), F.col("k").alias("_at"), "value")
     by_name = named.join(found, _same(keys) & (F.col("k") == F.col("_at")))
     back = by_name.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == x, F.col("value"))).alias(f"_v{i}") for i, x in enumerate(at)])
@@ -91,7 +97,7 @@ def percentiles(rows: DataFrame, keys: list[str], value: str, nearest: dict[str,
     for name, p in interpolated.items():
         place = F.lit(p) * (F.col("_n") - 1)
         columns.append((got[f"{name}<"] + (got[f"{name}>"] - got[f"{name}<"]) * (place - F.floor(place))).alias(name))
-    sizes = places.select(*_aside(keys), F.col("n").alias("_n"))
+    sizes = groups.select(*_aside(keys), F.col("n").alias("_n"))
     whole = sizes.join(back, _same(keys), "left")
     return whole.select(*[F.col(f"_{k}").alias(k) for k in keys], *columns)
 
