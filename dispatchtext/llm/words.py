@@ -5,6 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+
+#: Words whose hash a task remembers.
+MAX_HASHED = 500_000
 
 
 def batch_words(texts: pa.Array, lower: bool = True) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -18,3 +22,20 @@ def batch_words(texts: pa.Array, lower: bool = True) -> tuple[list[str], np.ndar
         kept = np.concatenate(([0], np.cumsum(keep)))
         index, offsets = index[keep], kept[offsets]
     return words, index, offsets
+
+
+class _WordHashes(dict):
+    """64-bit hash of a word, remembered; forgets everything when it holds MAX_HASHED words."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MAX_HASHED:
+            self.clear()
+        self[word] = out = xxhash.xxh3_64_intdigest(word)
+        return out
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        words = text.split()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+hashed_words = _WordHashes()

@@ -5,7 +5,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from dispatchtext.llm import language, simhash, toxicity
+from dispatchtext.llm import language, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, count string, row long, _row string, g int"
@@ -63,6 +63,4 @@ def test_near_duplicate_stage_takes_five_words(spark):
     near = words[:100] + ["changed"] + words[101:]
     far = [w for i, w in enumerate(words) if i % 4]
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, " ".join(words))], "doc_id long, text string")
-    bits = [simhash.fingerprint(" ".join(x), 5, wide=True) for x in (words, near)]
-    assert sum((a ^ b).bit_count() for a, b in zip(*bits)) <= simhash.NEAR_LIMIT
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()) == [1, 3]
