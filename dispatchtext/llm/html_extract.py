@@ -44,6 +44,8 @@ REPEAT_SHARE = 0.3
 MAX_ORDERS = 8
 #: Paths kept in one process; the tree starts anew beyond that (results do not change).
 MAX_NODES = 100_000
+#: Characters in which a whole tag is looked for by one pattern; longer and broken ones are scanned.
+SHORT = 256
 #: Stands for all small hosts; no host name holds this character.
 ALL = "*"
 
@@ -51,7 +53,7 @@ ALL = "*"
 #: that can hold an article, elements that are never part of one, words in a class or id that say the same, and
 #: words that say it only outside article and main elements of pages without a template.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea svg iframe object math canvas".split())
+RAW = frozenset("script style noscript template textarea svg iframe object canvas".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -70,8 +72,10 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 P_ENDS = BLOCK - {"br", "body", "html", "head", "title", "caption", "option"}
 INLINE = frozenset("b strong i em u a span small big font code tt s strike sub sup mark abbr cite q label".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"([a-zA-Z_:][\w:.-]*)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
+_NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
+_SHORT = re.compile(r"<(/?[a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")  # a whole tag, looked for in SHORT characters
+_STOP = re.compile(r"[\"'>]")
+_ATTR = re.compile(r"(?<![\w:.-])([a-zA-Z_:][\w:.-]*)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
 _DIGITS = re.compile(r"\d+")
 _SPACE = re.compile(r"\s+")
 
@@ -122,37 +126,92 @@ class Paths:
             self.__init__()
 
 
+class Tags:
+    """Finds the markup of a page from left to right, in time that grows with the page's length however broken it is.
+
+    What has no end is text. A tag ends at the first > outside quotes; quotes that turned out to lead to no end are
+    remembered, so that no later tag follows them again.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, {x: page.rfind(x) for x in ("\"", "'", ">", "]]>")}
+        self.dead: set[int] = set()
+        self.seen = (0, -1)  # no stop lies between the first place and the second, which is one (or the page's end)
+
+    def _stop(self, at: int) -> int:
+        if not self.seen[0] <= at <= self.seen[1]:
+            m = _STOP.search(self.page, at)
+            self.seen = (at, m.start() if m else len(self.page))
+        return self.seen[1]
+
+    def _find(self, what: str, at: int) -> int:
+        return self.page.find(what, at) if at <= self.last[what] else -1
+
+    def tag_end(self, at: int) -> int:
+        """Place of the > that ends a tag whose name ends at `at`, or -1."""
+        opened = []
+        while (stop := self._stop(at)) < len(self.page) and stop not in self.dead:
+            if self.page[stop] == ">":
+                return stop
+            opened.append(stop)
+            close = self._find(self.page[stop], stop + 1)
+            if close < 0:
+                break
+            at = close + 1
+        self.dead.update(opened)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, str, str] | None:
+        """(start, end, name with / if it closes, attributes) of the next markup from `at` on; comments and the like have no name."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            at = start + 1
+            if m := _SHORT.match(page, start, start + SHORT):
+                return start, m.end(), m[1], m[2]
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(page), "", ""
+            if page.startswith("<![CDATA[", start) and (end := self._find("]]>", start + 9)) >= 0:
+                return start, end + 3, "", ""
+            if page[at : at + 1] in ("!", "?") and (end := self._find(">", at + 1)) >= 0:
+                return start, end + 1, "", ""
+            if (m := _NAME.match(page, at)) and (end := self.tag_end(m.end())) >= 0:
+                return start, end + 1, m[0], page[m.end() : end]
+        return None
+
+
 def events(page: str) -> Iterator[tuple[str, str, str]]:
     """("text", text, ""), ("open", name, signature) and ("close", name, "") in page order.
 
     The signature is the element's name with its class, id and role, numbers in them as #. Raw-text elements give
     one open and one close without their content. Character references are decoded in texts.
     """
-    at, n = 0, len(page)
+    at, n, tags = 0, len(page), Tags(page)
     while at < n:
-        m = _TAG.search(page, at)
-        if not m:
+        found = tags.next(at)
+        if not found:
             yield "text", _html.unescape(page[at:]), ""
             return
-        if m.start() > at:
-            yield "text", _html.unescape(page[at : m.start()]), ""
-        at = m.end()
-        name = (m[2] or "").lower()
+        start, end, name, rest = found
+        if start > at:
+            yield "text", _html.unescape(page[at:start]), ""
+        at = end
         if not name:
             continue
-        if m[1]:
-            yield "close", name, ""
+        name = name.lower()
+        if name[0] == "/":
+            yield "close", name[1:], ""
             continue
         sign = name
-        if m[3]:
-            attrs = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(m[3])}
+        if rest:
+            attrs = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(rest)}
             sign += "".join(f".{_DIGITS.sub('#', attrs[k].lower())}" for k in ("class", "id", "role") if attrs.get(k))
         yield "open", name, sign
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else n
             yield "close", name, ""
-        elif name in VOID or (m[3] or "").rstrip().endswith("/"):
+        elif name in VOID or rest.rstrip().endswith("/"):
             yield "close", name, ""
 
 

@@ -2,8 +2,11 @@
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
+import pytest
+
 from dispatchtext.llm import html_extract as hx
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
@@ -158,3 +161,30 @@ def test_query_on_given_pages(spark):
         plain = (re.sub(r"\s+", " ", hx._html.unescape(re.sub(r"<[^>]+>", "", b))).strip() for b in blocks)
         want[r["page_id"]] = "\n".join(b for b in plain if b)
     assert {r["page_id"]: r["text"] for r in hx.op3_html(spark, sf).collect()} == want
+
+
+BROKEN = ['<a href="', "<![CDATA[", "<a <", "<a href='x\" ", "<!", "<a aaaaaaaa", '"<a \'', "<a b=c ", "<script", "</script ", "<!--", '<a href="x>', "<p class=", "&", "<" * 8]
+
+
+@pytest.mark.parametrize("piece", BROKEN)
+def test_broken_markup_takes_linear_time(piece):
+    """A megabyte of each; a quadratic scan would take minutes to hours."""
+    began = time.process_time()
+    for page in (piece * (1_000_000 // len(piece)), "<a " + piece * (1_000_000 // len(piece)) + ">"):
+        for _ in hx.events(page):
+            pass
+    assert time.process_time() - began < 15
+
+
+def test_scanner_cases():
+    def found(page):
+        return [(kind, name) for kind, name, _ in hx.events(page)]
+
+    assert found("a<b>c</b>d") == [("text", "a"), ("open", "b"), ("text", "c"), ("close", "b"), ("text", "d")]
+    assert found("<a title='x>y' b=\"<p>\">z") == [("open", "a"), ("text", "z")]
+    assert found("1 < 2 <3 <a") == [("text", "1 < 2 <3 <a")]
+    assert found("<!-- > -->x<!-->y-->z<!DOCTYPE html>w<?php?>v<![CDATA[<b>]]>u") == [("text", "x"), ("text", "z"), ("text", "w"), ("text", "v"), ("text", "u")]
+    assert found("<a href='>x <b>y</b>") == [("text", "<a href='>x "), ("open", "b"), ("text", "y"), ("close", "b")]
+    long = "<a href='" + "x>" * 500 + "' class=big>t"
+    assert list(hx.events(long)) == [("open", "a", "a.big"), ("text", "t", "")]
+    assert found("<math><mi>x</mi></math>") == [("open", "math"), ("open", "mi"), ("text", "x"), ("close", "mi"), ("close", "math")]
