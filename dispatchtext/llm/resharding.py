@@ -3,7 +3,7 @@
 Rows of an old shard stand in blocks; block totals give every row a byte position in its old shard. A
 minimum-cost flow (staying costs 0, a moved byte 1) says how many bytes of each old shard go to each new
 shard. The flows cut every old shard into byte ranges, and a row goes where the middle of its bytes lies.
-Only block totals (about one per ROWS_PER_BLOCK rows) and the flow reach the driver.
+Only one total for each old shard and the flow reach the driver.
 """
 
 from __future__ import annotations
@@ -82,7 +82,6 @@ def reshard(docs: DataFrame, old: str | None = None, old_shards: int = OLD_SHARD
     A null text has no bytes (size 1). Null and repeated keys, empty texts and repeated rows are placed
     like any other row; an empty table gives no rows. Other columns of docs are not read.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     present = F.col(old).cast("int") if old else F.pmod(F.xxhash64("doc_id", "text"), F.lit(old_shards)).cast("int")
     rows = docs.select(
@@ -94,12 +93,12 @@ def reshard(docs: DataFrame, old: str | None = None, old_shards: int = OLD_SHARD
     rows = rows.withColumn("block", F.pmod("h", F.lit(blocks)).cast("int"))
     order = [F.col(c) for c in ("h", "doc_id", "text_crc32", "size")]
     w = Window.partitionBy("old_shard", "block").orderBy(*order)
-    totals = rows.groupBy("old_shard", "block").agg(F.sum("size").alias("n")).orderBy("old_shard", "block").collect()
-    old_bytes, bases = [0] * old_shards, []
-    for r in totals:
-        bases.append((r["old_shard"], r["block"], old_bytes[r["old_shard"]]))
-        old_bytes[r["old_shard"]] += r["n"]
-    base = spark.createDataFrame(bases, "old_shard int, block int, base long")
+    totals = materialize(rows.groupBy("old_shard", "block").agg(F.sum("size").alias("n")), "reshard-blocks")
+    old_bytes = [0] * old_shards
+    for r in totals.groupBy("old_shard").agg(F.sum("n").alias("n")).collect():
+        old_bytes[r["old_shard"]] = r["n"]
+    earlier = F.sum("n").over(Window.partitionBy("old_shard").orderBy("block")) - F.col("n")  # over blocks, not rows
+    base = totals.select("old_shard", "block", earlier.alias("base"))
     middle = F.col("base") + F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.floor((F.col("size") + 1) / 2)
     placed = rows.join(base, ["old_shard", "block"]).withColumn("middle", middle)
     shard = F.lit(None).cast("int")
