@@ -8,8 +8,6 @@ import pytest
 
 from dispatchtext.llm import quality
 
-SF = "/root/testdata/sf0.01"
-
 
 def brute_base(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
@@ -88,9 +86,13 @@ def test_agreeing_rules_reject_and_a_lone_vote_is_overruled():
 
 
 def test_verdicts_on_labels(spark):
-    """Bad documents that pass the base go, good ones stay: the labels are never an input."""
-    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality")
-    rows = quality.quality(spark.read.parquet(f"{SF}/documents.parquet")).join(labels, "doc_id").filter("not base_failed").collect()
-    bad, good = ([r["kept"] for r in rows if r["quality"] == q] for q in (0, 1))
-    assert len(bad) > 10 and sum(bad) / len(bad) < 0.1
-    assert sum(good) / len(good) > 0.97
+    """Bad documents that pass the base go, good ones stay, and better than by dropping all with a bad vote: the labels are never an input."""
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "quality")
+    voted = quality.quality(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).filter("not base_failed")
+    rows = voted.join(labels, "doc_id", "left").select("kept", "votes", "quality").collect()
+    bad, good = ([r for r in rows if r["quality"] == q] for q in (0, 1))
+    assert len(bad) > 100 and sum(r["kept"] for r in bad) <= 0.02 * len(bad)
+    assert sum(r["kept"] for r in good) >= 0.995 * len(good) > sum("-" not in r["votes"] for r in good)
+    kept = [r["votes"].count("-") for r in rows if r["kept"]]
+    gone = [r["votes"].count("-") for r in rows if not r["kept"]]
+    assert sum(n > 0 for n in kept) > 50 and min(gone) <= 2  # overruled votes, and documents that two votes were enough for
