@@ -7,8 +7,11 @@ last character before it. Each chunk gives a transfer matrix from the states at
 its right end; matrices combine associatively, the best path picks one state per cut, and every chunk is
 then encoded alone between its two states.
 
-Pieces never hold a space after another character, so inside a chunk everything between the first and the
-last start of a word is encoded by the library at once, and only the ends need the search.
+Pieces never hold a space after another character, so inside a chunk only the ends before the first and after the last
+start of a word depend on the states. A chunk without words is encoded by the library as a whole, and by itself around either end for
+each state there: where two encodings have two neighbouring pieces in common, the one goes on as the other. What
+is allowed this way is allowed; should no path be found (encodings that never meet, as of one letter repeated), the
+text's pairs of states are tried one by one. Between its two states, a chunk is encoded by the library at once.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from .common import materialize, slices, table
 CHUNK_CHARS = 32_768
 #: Bytes of text that one Python step encodes at a time; a list of ids takes about ten times as much.
 TEXT_SLICE = 1 << 20
+#: Characters around a cut within which encodings of different states run into each other.
+END = 256
 #: Chunks that one step of cutting yields at a time.
 CHUNKS_AT_ONCE = 32
 NEVER = float("-inf")
@@ -39,7 +44,7 @@ Span = tuple[int, int]
 
 
 class Pieces:
-    """The library on texts whose leading mark is already there, and the rules of neighbouring pieces."""
+    """The library on texts whose leading mark is already there."""
 
     def __init__(self, path: str):
         proto = sentencepiece_model_pb2.ModelProto()
@@ -50,11 +55,11 @@ class Pieces:
         self.bare = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         self.longest = max(len(p.piece) for p in proto.pieces)
         self.ids = lru_cache(1 << 18)(lambda s: tuple(self.bare.encode(s)))
-        self.joins = lru_cache(1 << 18)(lambda a, b: self.ids(a + b) == self.ids(a) + self.ids(b))
+        self.vocabulary = frozenset(x.piece for x in proto.pieces)
 
     def piece(self, s: str) -> bool:
         """One piece, or one character that falls back to bytes."""
-        return len(s) == 1 or len(self.ids(s)) == 1
+        return len(s) == 1 or s.replace(" ", "▁") in self.vocabulary and len(self.ids(s)) == 1
 
 
 _loaded: dict[str, Pieces] = {}
@@ -87,28 +92,6 @@ def states(p: Pieces, text: str, at: int) -> list[Span]:
     return out
 
 
-def _reach(p: Pieces, text: str, start: Span, stop: int) -> dict[Span, Span | None]:
-    """Spans that a chain of allowed neighbours reaches from `start` and that begin before `stop`, with their forerunners."""
-    back: dict[Span, Span | None] = {start: None}
-    todo = {start[1]: [start]}
-    at = start[1]
-    while todo:
-        at = min(todo)
-        for last in todo.pop(at):
-            if at >= stop:
-                continue
-            for e in range(at + 1, min(len(text), at + p.longest) + 1):
-                if word_start(text, e - 1) and e - 1 > at:
-                    break
-                nxt = (at, e)
-                if nxt in back or not p.piece(text[at:e]):
-                    continue
-                if last[0] == last[1] or word_start(text, at) or p.joins(text[last[0] : last[1]], text[at:e]):
-                    back[nxt] = last
-                    todo.setdefault(e, []).append(nxt)
-    return back
-
-
 def first_word(text: str, a: int, b: int) -> int | None:
     return next((i for i in range(a, b) if word_start(text, i)), None)
 
@@ -117,26 +100,50 @@ def last_word(text: str, a: int, b: int) -> int | None:
     return next((i for i in range(b - 1, a - 1, -1) if word_start(text, i)), None)
 
 
-def transfer(p: Pieces, text: str, a: int, b: int) -> np.ndarray:
-    """Weights from the states at a to those at b; `text` holds the chunk [a, b) and its surroundings."""
+def spans(p: Pieces, text: str, a: int, b: int) -> list[Span]:
+    """Spans of the pieces that the library makes of text[a:b]; bytes of one character are one span."""
+    ends = sorted({a, *(a + end for _, end in p.bare.encode(text[a:b], return_type="offset_mapping")["offsets"])})
+    return list(zip(ends, ends[1:]))
+
+
+def meet(x: list[Span], pairs: set[tuple[Span, Span]], a: int, b: int) -> bool:
+    """Whether two neighbours of x that begin in [a, b) are among the pairs."""
+    return any(a <= u[0] < b and (u, v) in pairs for u, v in zip(x, x[1:]))
+
+
+def transfer_unspaced(p: Pieces, text: str, a: int, b: int, ins: list[Span], outs: list[Span]) -> np.ndarray:
+    """Weights over a chunk without words that is longer than 6 * END: allowed where both ends run into the chunk's own encoding."""
+    whole = spans(p, text, a, b)
+    pairs = set(zip(whole, whole[1:]))
+    left = [(x := spans(p, text, s, a + 3 * END))[0] == (s, e) and meet(x, pairs, a + END, a + 2 * END) if e > s else a == 0 for s, e in ins]
+    right = [(x := spans(p, text, b - 3 * END, e))[-1] == (s, e) and meet(x, pairs, b - 2 * END, b - END) for s, e in outs]
+    return np.where(np.outer(left, right), 0.0, NEVER)
+
+
+def transfer(p: Pieces, text: str, a: int, b: int, full: bool = False) -> np.ndarray:
+    """Weights from the states at a to those at b; `text` holds the chunk [a, b) and its surroundings. full: every pair of states is tried."""
     ins, outs = states(p, text, a), states(p, text, b)
     first = first_word(text, a, b)
-    out = np.full((len(ins), len(outs)), NEVER)
-    if first is None or a == b:
-        for i, start in enumerate(ins):
-            if start[1] >= b and start[1] > start[0]:  # one piece over the whole chunk
-                reached = {start}
-            else:
-                reached = set(_reach(p, text, start, b))
-            out[i] = [0.0 if o in reached else NEVER for o in outs]
-        return out
-    left = []
-    for start in ins:  # the word at the chunk's start must end exactly at the first word start
-        left.append(start[1] <= first and any(s[1] == first for s in _reach(p, text, start, first)))
-    reached = set(_reach(p, text, (last := last_word(text, a, b), last), b))
-    right = [o in reached for o in outs]
-    out[np.ix_(left, right)] = 0.0
-    return out
+    if first is None and not full and b - a > 6 * END:
+        return transfer_unspaced(p, text, a, b, ins, outs)
+    if first is None:
+        allowed = [[connected(p, text, i, o) for o in outs] for i in ins]
+    else:  # the word at either end: pieces never reach over the start of a word
+        last = last_word(text, a, b)
+        left = [s == e or e <= first and spans(p, text, s, first)[0] == (s, e) for s, e in ins]
+        right = [s >= last and spans(p, text, last, e)[-1] == (s, e) for s, e in outs]
+        allowed = np.outer(left, right)
+    return np.where(np.array(allowed, bool).reshape(len(ins), len(outs)), 0.0, NEVER)
+
+
+def connected(p: Pieces, text: str, start: Span, end: Span) -> bool:
+    """Whether allowed neighbours lead from one piece to the other: the encoding of all that they enclose begins and ends with them."""
+    if start == end:
+        return True
+    if start[0] == start[1]:
+        return spans(p, text, start[1], end[1])[-1] == end
+    whole = spans(p, text, start[0], end[1]) if start[1] <= end[0] else [end]
+    return whole[0] == start and whole[-1] == end
 
 
 def combine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -155,42 +162,22 @@ def scan(matrices: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def choose(matrices: list[np.ndarray]) -> list[int]:
-    """The state at every cut of the best path; state 0 before the text. Raises if no path is allowed."""
+def choose(matrices: list[np.ndarray]) -> list[int] | None:
+    """The state at every cut of the best path; state 0 before the text. None if no path is allowed."""
     prefixes = scan(matrices)
     at = int(np.argmax(prefixes[-1][0]))
     if prefixes[-1][0][at] == NEVER:
-        raise ValueError("no allowed sequence of pieces")
+        return None
     path = [at]
     for i in range(len(matrices) - 1, 0, -1):
         path.append(int(np.argmax(prefixes[i - 1][0] + matrices[i][:, path[-1]])))
     return [0, *path[::-1]]
 
 
-def _trace(back: dict[Span, Span | None], end: Span) -> list[Span]:
-    out = []
-    while back[end] is not None:
-        out.append(end)
-        end = back[end]
-    return out[::-1]
-
-
 def encode_chunk(p: Pieces, text: str, a: int, b: int, state_in: int, state_out: int) -> list[int]:
-    """ids of the pieces that begin in [a, b), given the states at both ends."""
+    """ids of the pieces from the state at a, without it, to the state at b: between two places of a whole text's encoding the library makes the same pieces."""
     start, end = states(p, text, a)[state_in], states(p, text, b)[state_out]
-    if end == start:
-        return []
-    first = first_word(text, a, b)
-    if first is None:
-        spans = _trace(_reach(p, text, start, b), end)
-        return [i for s, e in spans for i in p.ids(text[s:e])]
-    head = _reach(p, text, start, first)
-    done = max(s for s in head if s[1] == first)
-    ids = [i for s, e in _trace(head, done) for i in p.ids(text[s:e])]
-    last = last_word(text, a, b)
-    ids += p.bare.encode(text[first:last])
-    tail = _trace(_reach(p, text, (last, last), b), end)
-    return ids + [i for s, e in tail for i in p.ids(text[s:e])]
+    return p.bare.encode(text[start[1] : end[1]]) if end[1] > start[1] else []
 
 
 def encode_by_scan(p: Pieces, text: str, chunk: int) -> list[int]:
@@ -200,7 +187,9 @@ def encode_by_scan(p: Pieces, text: str, chunk: int) -> list[int]:
     full = " " + text
     cuts = [*range(0, len(full), chunk), len(full)]
     bounds = list(zip(cuts, cuts[1:]))
-    path = choose([transfer(p, full, a, b) for a, b in bounds])
+    path = choose([transfer(p, full, a, b) for a, b in bounds]) or choose([transfer(p, full, a, b, full=True) for a, b in bounds])
+    if path is None:
+        raise ValueError("no allowed sequence of pieces")
     return [i for (a, b), s, t in zip(bounds, path, path[1:]) for i in encode_chunk(p, full, a, b, s, t)]
 
 
@@ -254,10 +243,10 @@ def _encode_giant(giant: DataFrame, model: str, chunk: int) -> DataFrame:
     margin = 2 * pieces(model).longest
     chunks = materialize(_chunks(giants, chunk, margin).repartition("uid", "n"), "giant-chunks")
 
-    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def matrices(batches: Iterator[pa.RecordBatch], full: bool = False) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
         for batch in slices(batches, "part", TEXT_SLICE):
-            made = [transfer(p, t, a, b) for t, a, b in zip(*(batch.column(c).to_pylist() for c in ("part", "a", "b")))]
+            made = [transfer(p, t, a, b, full) for t, a, b in zip(*(batch.column(c).to_pylist() for c in ("part", "a", "b")))]
             yield pa.record_batch(
                 [batch.column("uid"), batch.column("n"), pa.array([m.shape[0] for m in made], pa.int32()), pa.array([m.shape[1] for m in made], pa.int32()), pa.array([np.packbits(m == 0).tobytes() for m in made], pa.binary())],
                 names=["uid", "n", "ins", "outs", "allowed"],
@@ -269,7 +258,7 @@ def _encode_giant(giant: DataFrame, model: str, chunk: int) -> DataFrame:
         for r in rows_:
             bits = np.unpackbits(np.frombuffer(r["allowed"], np.uint8))[: r["ins"] * r["outs"]].reshape(r["ins"], r["outs"])
             made.append(np.where(bits, 0.0, NEVER))
-        path = choose(made)
+        path = choose(made) or [-1] * (len(made) + 1)
         return pa.table({"uid": [r["uid"] for r in rows_], "n": [r["n"] for r in rows_], "s": path[:-1], "t": path[1:]}, schema=pa.schema([("uid", pa.int64()), ("n", pa.int32()), ("s", pa.int32()), ("t", pa.int32())]))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +268,16 @@ def _encode_giant(giant: DataFrame, model: str, chunk: int) -> DataFrame:
             yield pa.record_batch([batch.column("uid"), batch.column("n"), pa.array(made, pa.binary())], names=["uid", "n", "ids"])
 
     # One row per chunk of one text meets per document; a text's chunks are bounded by the largest text.
-    states_ = chunks.mapInArrow(matrices, "uid long, n int, ins int, outs int, allowed binary").groupBy("uid").applyInArrow(paths, "uid long, n int, s int, t int")
+    def best(own: DataFrame, step) -> DataFrame:
+        made = own.mapInArrow(step, "uid long, n int, ins int, outs int, allowed binary").groupBy("uid").applyInArrow(paths, "uid long, n int, s int, t int")
+        return materialize(made, "giant-paths")
+
+    states_ = best(chunks, matrices)
+    lost = states_.filter("s < 0").select("uid").distinct()
+    if lost.limit(1).count():
+        states_ = states_.filter("s >= 0").unionByName(best(chunks.join(lost, "uid", "left_semi"), lambda batches: matrices(batches, full=True)))
+        if states_.filter("s < 0").limit(1).count():
+            raise ValueError("no allowed sequence of pieces")
     encoded = chunks.join(states_, ["uid", "n"]).select("uid", "n", "part", "a", "b", "s", "t").mapInArrow(finish, "uid long, n int, ids binary")
     joined = giants.join(encoded.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("n", "ids"))).alias("parts")), "uid")
 

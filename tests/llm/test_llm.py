@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -498,3 +499,29 @@ def test_quality(spark, docs, none):
     assert len(rows) == docs.count()
     assert all(not (r["base_failed"] and r["kept"]) for r in rows) and all(r["base_failed"] for r in rows if r["n_words"] < 20)
     assert quality.quality(none).count() == 0
+
+
+UNSPACED = {
+    "letters": "abcdefghijklmnopqrstuvwxyz", "few": "ab", "one": "a", "han": "".join(map(chr, range(0x4E00, 0x9FFF))), "common han": "的一是不了人我在有他这中大来上国个到说们", "thai": "".join(map(chr, range(0xE01, 0xE3A))),
+    "emoji": "".join(map(chr, range(0x1F300, 0x1F600))), "digits": "0123456789", "marks": "-=_.!?",
+}
+
+
+@pytest.mark.parametrize("kind", UNSPACED)
+def test_unspaced_giants_equal_the_library(kind):
+    """Chunks without a word start, long and short, and words as long as a chunk; in a time near the library's."""
+    rnd, p = random.Random(kind), pieces.pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    for n, chunk in ((12_000, 4_096), (3_000, 300), (400, 37)):
+        text = "".join(rnd.choice(UNSPACED[kind]) for _ in range(n))
+        for t in (text, f"{text[: n // 2]} x {text[n // 2 :]}", "a " + text, text + " z"):
+            assert pieces.encode_by_scan(p, t, chunk) == p.plain.encode(t)
+
+
+def test_unspaced_giant_takes_about_the_librarys_time():
+    rnd, p = random.Random(5), pieces.pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    text = "".join(chr(rnd.randint(0x4E00, 0x9FFF)) for _ in range(200_000))
+    began = time.process_time()
+    want = p.plain.encode(text)
+    library = time.process_time() - began
+    assert pieces.encode_by_scan(p, text, pieces.CHUNK_CHARS) == want
+    assert time.process_time() - began < 2 + 40 * library  # minutes, when every character was searched for
