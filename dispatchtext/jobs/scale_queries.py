@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import spans
+from ..functions import text as tx
 from ..functions.payload import decode_payload
 from ..operators import intervals
 from ..operators.order_statistics import percentiles
@@ -63,6 +64,17 @@ def r6_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("message_id", "s.label", "s.start", "s.end")
 
 
+# Look-alike letters.
+
+_LOOKALIKES = "case when k % 2 = 0 then replace(name, 'Đ', 'Ð') else name end || ' ðÐđĐd ' || addr"
+
+
+@query(f"select message_id, replace(replace({_LOOKALIKES}, 'Ð', 'Đ'), 'ð', 'đ') as folded from {M}")
+def t7_confusables_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in which some names are spelt with the look-alike letter and others are not."""
+    return msg.messages(spark, sf_dir).select("message_id", tx.fold_confusables(F.expr(_LOOKALIKES)).alias("folded"))
+
+
 # Exact percentiles: one group holds 99 of 100 rows.
 
 _FRACTIONS = (0.0, 0.01, 0.25, 0.5, 0.9, 0.95, 0.99, 1.0)
