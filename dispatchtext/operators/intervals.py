@@ -6,35 +6,89 @@ example may have any number of them: its rows are dealt out by place, so several
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sources.shared import tasks_for
 
 #: Places that overlap tests put in one part of an example.
 STRETCH = 4096
+#: Places (a power of two) of the smallest cells of containment; what a sweep returns.
+CELL_BITS = 12
+ANSWER = ("example_id", "unit", "start", "end", "ord", "label")
 
 
-def label_units(units: DataFrame, entities: DataFrame) -> DataFrame:
+def label_units(units: DataFrame, entities: DataFrame, bits: int = CELL_BITS) -> DataFrame:
     """units (example_id, unit, start, end) with `label`: B- or I- and the label of the first entity that contains the unit, else O.
 
-    entities: example_id, ord, start, end, label; the least ord counts. An entity lies on the level of the power of two that is at
-    least its length, where it touches at most two cells however long it is. A unit looks at its own cell on every level in
-    use, and keeps the first of what it finds. Entities of no length contain units of no length at their place. Rows that
-    are equal come once.
+    entities: example_id, ord, start, end, label; the least ord counts. Lengths are sorted into a few levels of cells, of 2**bits
+    places and of 16 times as many from level to level. An entity lies on the first level whose cells are as long as it, where it
+    touches two cells at most; a unit looks at its own cell on every level in use. A cell is swept in order of starts, so however many
+    entities hold a unit, no pair is listed. Entities of no length contain units of no length at their place. Rows that are
+    equal come once.
+    """
+    entities = entities.filter("start <= end and example_id is not null and ord is not null")
+    length, sizes = F.col("end").cast("long") - F.col("start"), range(bits, 62, 4)
+    level = F.lit(62)
+    for size in reversed(sizes):
+        level = F.when(length <= 1 << size, F.lit(size)).otherwise(level)
+    entities = entities.withColumn("level", level)
+    held = {r["level"]: r["count"] for r in entities.groupBy("level").count().collect()}  # a place has 31 bits, so six levels at most
+    levels = sorted(held) or [bits]
+    first, last = (F.expr(f"shiftright(cast({c} as bigint), level)") for c in ("start", "end"))
+    none = {c: F.lit(None).cast(t) for c, t in (*[(c, entities.schema[c].dataType) for c in ("ord", "label")], ("unit", units.schema["unit"].dataType))}
+    places = [F.col(c) for c in ("example_id", "level", "cell", "start", "end")]
+    placed = entities.withColumn("cell", F.explode(F.sequence(first, last))).select(*places, F.lit(False).alias("asks"), none["unit"].alias("unit"), "ord", "label")
+    probes = units.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumn("cell", first)
+    probes = probes.select(*places, F.lit(True).alias("asks"), "unit", none["ord"].alias("ord"), none["label"].alias("label"))
+    rows = probes.unionByName(placed)
+    tasks = tasks_for(units.sparkSession, units.count() * len(levels) + 2 * sum(held.values()))
+    rows = rows.repartition(tasks, "example_id", "level", "cell").sortWithinPartitions("example_id", "level", "cell", "start", "asks", "end", "unit")
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    found = rows.mapInArrow(_sweep, T.StructType([T.StructField(c, kinds[c]) for c in ANSWER]))
+    if len(levels) > 1:
+        found = found.groupBy("example_id", "unit", "start", "end").agg(F.min_by("label", "ord").alias("label"))
+    return found.select("example_id", "unit", "start", "end", F.coalesce("label", F.lit("O")).alias("label"))
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The unit rows of sorted cells with the first entity (ord, label with its mark) that holds them; equal units come once.
+
+    Of the entities that have started, only those stay that a later unit may get: none with a smaller ord reaches as far. So
+    ends and ords both rise, and the first entity that reaches a unit's end has the least ord.
     """
-    level = F.ceil(F.log2(F.greatest(F.col("end") - F.col("start"), F.lit(1)).cast("double"))).cast("int")
-    entities = entities.filter("start <= end").withColumn("level", level)
-    levels = [r[0] for r in entities.select("level").distinct().collect()]  # a place has 31 bits, so 32 at most
-    size = F.expr("shiftleft(1L, level)")
-    cells = F.sequence(F.floor(F.col("start") / size), F.floor(F.col("end") / size))
-    placed = entities.select(F.col("example_id").alias("e_example"), "level", F.explode(cells).alias("cell"), "ord", F.col("start").alias("e_start"), F.col("end").alias("e_end"), F.col("label").alias("e_label"))
-    placed = placed.withColumnRenamed("level", "e_level").withColumnRenamed("cell", "e_cell")
-    probes = units.select("example_id", "unit", "start", "end", F.explode(F.array(*map(F.lit, levels or [0]))).alias("level")).withColumn("cell", F.floor(F.col("start") / size))
-    same = (F.col("example_id") == F.col("e_example")) & (F.col("level") == F.col("e_level")) & (F.col("cell") == F.col("e_cell"))
-    found = probes.join(placed, same & (F.col("start") >= F.col("e_start")) & (F.col("end") <= F.col("e_end")), "left")
-    first = F.min_by(F.struct("e_start", "e_label"), "ord")
-    out = found.groupBy("example_id", "unit", "start", "end").agg(first.alias("e"))
-    tag = F.concat(F.when(F.col("start") == F.col("e.e_start"), "B-").otherwise("I-"), F.col("e.e_label"))
-    return out.select("example_id", "unit", "start", "end", F.when(F.col("e").isNull(), "O").otherwise(tag).alias("label"))
+    cell = unit = None
+    ends, ords, held = [], [], []
+    for batch in batches:
+        keep, found, labels = [], [], []
+        columns = [batch.column(c).to_pylist() for c in ("example_id", "level", "cell", "start", "end", "asks", "unit", "ord", "label")]
+        for at, (example, level, number, start, end, asks, name, ord_, label) in enumerate(zip(*columns)):
+            if (example, level, number) != cell:
+                cell, unit = (example, level, number), None
+                ends, ords, held = [], [], []
+            if asks:
+                if (start, end, name) == unit:
+                    continue
+                unit = (start, end, name)
+                i = len(ends) if start is None or end is None else bisect_left(ends, end)
+                hit = i < len(ends)
+                keep.append(at)
+                found.append(ords[i] if hit else None)
+                labels.append(("B-" if held[i][0] == start else "I-") + held[i][1] if hit and held[i][1] is not None else None)
+                continue
+            i = bisect_left(ends, end)
+            if i < len(ends) and ords[i] <= ord_:
+                continue
+            low, high = bisect_left(ords, ord_, 0, i), i + (i < len(ends) and ends[i] == end)
+            ends[low:high], ords[low:high], held[low:high] = [end], [ord_], [(start, label)]
+        part = batch.take(pa.array(keep, pa.int64()))
+        columns = [part.column(c) for c in ANSWER[:4]] + [pa.array(found, part.schema.field("ord").type), pa.array(labels, part.schema.field("label").type)]
+        yield pa.RecordBatch.from_arrays(columns, list(ANSWER))
 
 
 def mark_overlaps(rows: DataFrame, others: DataFrame, stretch: int = STRETCH) -> DataFrame:

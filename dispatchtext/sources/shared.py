@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that one task sorts or works on at a time.
+TASK_ROWS = 1_000_000
+
 _own_dir: dict[str, str] = {}
 
 
@@ -34,6 +37,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tasks_for(spark: SparkSession, rows: int, each: int = TASK_ROWS) -> int:
+    """Tasks to deal so many rows out to: a task's share does not grow with the table, and no core stays idle."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // each))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that new_path() named, wherever it lies."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -113,6 +113,24 @@ def test_hot_example_is_shared_by_tasks(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_units_held_by_thousands_of_entities(spark):
+    """Every unit lies in 2,000 entities: the join lists no pair, and the least ord wins on every level of lengths."""
+    r = random.Random(5)
+    spans_ = [(1, i, s, s + n, r.choice(spans.TYPES)) for i in range(4000) for s in [r.randint(0, 500)] for n in [r.choice([800, 5000, 70_000])]]
+    units = [(1, i, s, s + r.randint(0, 400)) for i in range(400) for s in [r.randint(-5, 1000)]] + [(1, 7, None, 3), (None, 8, 1, 2)]
+    u = spark.createDataFrame(units + units[:50], "example_id int, unit int, start int, end int")
+    e = spark.createDataFrame([*r.sample(spans_, 4000), (None, 1, 0, 9, "PER")], "example_id int, ord int, start int, end int, label string")
+    out = intervals.label_units(u, e)
+
+    def want(example, start, end):
+        first = next((x for x in spans_ if example and start is not None and x[2] <= start and end <= x[3]), None)
+        return "O" if first is None else ("B-" if first[2] == start else "I-") + first[4]
+
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(((*x, want(x[0], *x[2:])) for x in set(units)), key=repr)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "HashJoin" not in plan
+
+
 # Chunks within a row.
 
 
