@@ -11,7 +11,7 @@ from ..functions.payload import json_whole
 from ..functions.spans import LABELS
 from ..functions.text import trim
 
-EXAMPLE = "id string, text string, entities array<struct<start:int,end:int,label:string>>, source string, variation string, model string, created_at string"
+EXAMPLE = "id string, text string, entities array<struct<start:int,end:int,label:string>>, source string, variation string, model string, created_at string, digest string"
 CASE = (
     "id string, layer string, scope string, tags array<string>, input struct<text:string,debug:boolean,text_factory:struct<character:string,count:int>>, "
     "expected struct<http_status:int,error_code:string,response:map<string,string>,forbidden_empty_strings:boolean,forbidden_response_fields:array<string>>"
@@ -59,26 +59,32 @@ def write_splits(examples: DataFrame, path: str) -> None:
 
 
 def with_provenance(examples: DataFrame, provider: str, model: str, created_at: str | None = None) -> DataFrame:
-    """id, source, model, variation (kept where there is one) and created_at (an ISO time, null: now) of generated examples.
+    """id, source, model, variation (kept where there is one), created_at (an ISO time, null: now) and digest of generated examples.
 
-    Ids come from response, ordinal and text, so that retries write the same rows.
+    Ids and digests come from response, ordinal and text, so that retries write the same rows. An id is the digest's first 32 bits.
     """
     digest = F.sha2(F.concat_ws("|", F.col("response_id").cast("string"), F.col("ordinal").cast("string"), "text"), 256)
     now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
     kind = F.col("variation").cast("string") if "variation" in examples.columns else F.lit(None).cast("string")
     return examples.withColumns(
-        {"id": F.concat(F.lit("synth-"), F.substring(digest, 1, 8)), "source": F.lit(f"{provider}_synth"), "model": F.lit(model), "variation": kind, "created_at": F.lit(created_at) if created_at else now}
+        {"id": F.concat(F.lit("synth-"), F.substring(digest, 1, 8)), "source": F.lit(f"{provider}_synth"), "model": F.lit(model), "variation": kind, "created_at": F.lit(created_at) if created_at else now, "digest": digest}
     )
 
 
 def append_examples(examples: DataFrame, path: str) -> None:
-    """Add the examples that path does not hold yet, by id and text: the same job run twice leaves each row once.
+    """Add the examples that path does not hold yet, by id, text and digest: the same job run twice leaves each row once.
 
-    Ids have 32 bits, so the text belongs to the key. Rows that come twice within examples are added once.
+    Ids have 32 bits and texts repeat, so of many rows some share both; the digest of generated examples parts them. Rows that
+    come twice within examples are added once.
     """
-    held = read_examples(examples.sparkSession, path).select(F.col("id").alias("held_id"), F.col("text").alias("held_text"))
-    new = examples.dropDuplicates(["id", "text"]).join(held, F.col("id").eqNullSafe(F.col("held_id")) & F.col("text").eqNullSafe(F.col("held_text")), "left_anti")
-    new.write.mode("append").json(path)
+    if "digest" not in examples.columns:
+        examples = examples.withColumn("digest", F.lit(None).cast("string"))
+    keys = ["id", "text", "digest"]
+    held = read_examples(examples.sparkSession, path).select(*[F.col(c).alias(f"held_{c}") for c in keys])
+    same = F.coalesce(F.col("digest") == F.col("held_digest"), F.lit(True))  # rows without one are known by id and text
+    for c in ("id", "text"):
+        same = same & F.col(c).eqNullSafe(F.col(f"held_{c}"))
+    examples.dropDuplicates(keys).join(held, same, "left_anti").write.mode("append").json(path)
 
 
 def read_cases(spark: SparkSession, path: str, array: bool = False, layer: str | None = None, ids: list[str] | None = None) -> DataFrame:

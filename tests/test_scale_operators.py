@@ -302,6 +302,19 @@ def test_append_is_idempotent(spark, tmp_path):
     assert got.count() == 3 and sorted(r["text"] for r in got.collect()) == ["x", "x", "y"]
 
 
+def test_append_keeps_rows_that_share_id_and_text(spark, tmp_path):
+    """Two generated rows whose digests begin alike and whose texts are equal are two rows, however often they are appended."""
+    path = str(tmp_path / "generated")
+    numbers = spark.range(300_000).select((F.col("id") * 7).alias("response_id"), F.lit(0).alias("ordinal"), F.lit("same").alias("text"))
+    made = annotated.with_provenance(numbers, "p", "m", "2026-01-02T03:04:05+00:00")
+    twins = made.groupBy("id").agg(F.collect_list("response_id").alias("of")).filter(F.size("of") > 1).select(F.explode("of").alias("response_id"))
+    rows = made.join(twins, "response_id").drop("response_id", "ordinal").cache()
+    assert rows.count() == 2 * rows.select("id").distinct().count() > 0
+    for _ in range(2):
+        annotated.append_examples(rows, path)
+    assert annotated.read_examples(spark, path).count() == rows.count()
+
+
 def test_stream_restart_in_the_middle_of_a_batch(spark, tmp_path):
     source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
     messages = msg.messages(spark, SF).limit(300).repartition(3)
