@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +23,8 @@ MAX_CHARS = 5000
 #: Tokens that a model sees of a text, its two marks included; texts scored at a time.
 POSITIONS = 512
 SCORED_TOGETHER = 32
+#: Bytes of text whose tokens are held at a time, as Python objects some 100 times as large.
+SCORED_BYTES = 1 << 20
 
 
 def validate(text: Column, debug: Column | None = None, debug_allowed: bool = True, scorer_ready: bool = True, max_chars: int = MAX_CHARS) -> Column:
@@ -117,17 +120,28 @@ def telemetry(rows: DataFrame) -> DataFrame:
     )
 
 
+def _slices(batch: pa.RecordBatch, limit: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch that hold about `limit` bytes of masked text, one row at least."""
+    limit, start, held = limit or SCORED_BYTES, 0, 0
+    for i, size in enumerate(pc.fill_null(pc.binary_length(batch.column("masked")), 0).to_pylist()):
+        if held and held + size > limit:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    yield batch.slice(start)
+
+
 def score_tokens(rows: DataFrame, load: Callable[[], Callable[[list[str]], list[list[dict]]]], positions: int = POSITIONS, batch: int = SCORED_TOGETHER) -> DataFrame:
     """Adds `tokens` by a scorer: load() runs once per Python worker and returns texts -> token rows (start, end, token, label).
 
-    Rows without masked text (rejected ones) get no tokens and never reach the scorer. Within an Arrow batch, texts go to the
-    scorer in order of length, `batch` at a time, so that little is padding; rows keep their order. A model sees `positions`
+    Rows without masked text (rejected ones) get no tokens and never reach the scorer. Within a slice of about
+    SCORED_BYTES, texts go to the scorer in order of length, `batch` at a time, so that little is padding; rows keep their order. A model sees `positions`
     tokens, two of them its own marks: tokens beyond are dropped.
     """
     kind, held = T.ArrayType(T.StructType.fromDDL(spans.TOKEN[7:-1])), []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in batches:
+        for piece in (p for b in batches for p in _slices(b)):
             texts = piece.column("masked").to_pylist()
             order = sorted((i for i, t in enumerate(texts) if t), key=lambda i: len(texts[i]))
             tokens: list[list[dict]] = [[] for _ in texts]
