@@ -36,7 +36,10 @@ def bio_label(unit: Column, entities: Column) -> Column:
 
 def label_units(text: Column, entities: Column) -> Column:
     """Words and marks of text as tokens with their labels."""
-    return F.transform(match_spans(text, UNIT), lambda u: F.struct(u["start"].alias("start"), u["end"].alias("end"), u["text"].alias("token"), bio_label(u, entities).alias("label")))
+    def label(held: Column) -> Column:  # entities are found once a row, not once a unit
+        return F.transform(match_spans(text, UNIT), lambda u: F.struct(u["start"].alias("start"), u["end"].alias("end"), u["text"].alias("token"), bio_label(u, held).alias("label")))
+
+    return let(entities, label)
 
 
 def word_units(text: Column) -> Column:
@@ -125,6 +128,11 @@ def vocative(text: Column, raw: Column, end: Column) -> Column:
 
 def candidates(pieces: Column, raw: Column, to_raw, masks: Column, blocks: Column) -> dict[str, Column]:
     """Candidates by type from assembled spans: mapped to raw text, bounded, trimmed, drop rules applied."""
+    return by_type(placed(pieces, raw, to_raw, masks, blocks), raw)
+
+
+def placed(pieces: Column, raw: Column, to_raw, masks: Column, blocks: Column) -> Column:
+    """Assembled spans mapped to raw text, bounded and trimmed, without those that masks or blocks touch: label, has_b, start, end, text."""
     # Positions and cuts are fields of their own arrays: each is evaluated once a span.
     def bound(p: Column) -> Column:
         return F.struct(p["label"].alias("label"), p["has_b"].alias("has_b"), overlaps(p["start"], p["end"], masks).alias("masked"), to_raw(p["start"]).alias("low"), to_raw(p["end"]).alias("high"))
@@ -140,11 +148,14 @@ def candidates(pieces: Column, raw: Column, to_raw, masks: Column, blocks: Colum
         good = p["inside"] & (F.length(p["text"]) > 0)
         return F.struct(p["label"].alias("label"), p["has_b"].alias("has_b"), good.alias("good"), p["start"].alias("start"), (p["start"] + F.length(p["text"])).alias("end"), p["text"].alias("text"))
 
-    placed = pieces
+    out = pieces
     for step in (bound, cut, place, close):
-        placed = F.transform(placed, step)
-    placed = F.filter(placed, lambda c: c["good"] & ~overlaps(c["start"], c["end"], blocks))
+        out = F.transform(out, step)
+    return F.filter(out, lambda c: c["good"] & ~overlaps(c["start"], c["end"], blocks))
+
 
+def by_type(placed: Column, raw: Column) -> dict[str, Column]:
+    """per, addr and note of placed spans. Each reads `placed`, which is therefore best a column of its own."""
     def plain(found: Column) -> Column:
         return F.transform(found, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["text"].alias("text")))
 

@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import tasks_for
+
+#: Messages that one task makes and parses: seconds of work, however many there are.
+TASK_MESSAGES = 50_000
+
 
 def _pick(words: str, index: str) -> str:
     return f"split_part('{words}', '|', cast({index} as int) + 1)"
@@ -43,8 +48,13 @@ from ({PARTS}) parts
 """
 
 
+def dealt_keys(spark: SparkSession, sf_dir: str, each: int, *by: str) -> DataFrame:
+    """o_orderkey of every order, `each` of them a task (dealt out by the columns `by`, if any)."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return orders.select("o_orderkey").repartition(tasks_for(spark, orders.count(), each), *by)  # counted from the file's footers
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """message_id, text and the composing values k, v, phone, phone2, name, addr, note."""
     # Keys are dealt out before texts are made of them: a small file is one split, and parsing is the work.
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey").repartition(spark.sparkContext.defaultParallelism)
-    return spark.sql(MESSAGES.replace("from orders", "from {orders}"), orders=orders)
+    return spark.sql(MESSAGES.replace("from orders", "from {orders}"), orders=dealt_keys(spark, sf_dir, TASK_MESSAGES))

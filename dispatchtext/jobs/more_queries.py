@@ -227,7 +227,7 @@ DROPS = f"""select *, case w when 0 then name || ' ơi, giao tới ' || addr whe
   case when w = 5 then note end as note, case when w in (1, 8) then 'address_not_found' end as error_code from ({DROPS}) d""")
 def n11_r4_drop_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rule that drops or promotes a span, and every rule that leaves a field empty."""
-    rows = prepare(spark.sql(DROPS.replace("from orders", "from {orders}"), orders=_t(spark, sf_dir, "orders").select("o_orderkey").repartition(spark.sparkContext.defaultParallelism)))
+    rows = prepare(spark.sql(DROPS.replace("from orders", "from {orders}"), orders=msg.dealt_keys(spark, sf_dir, msg.TASK_MESSAGES)))
     quote = F.when(F.col("w") == 4, F.concat(F.lit("ghi chú: "), "addr")).when(F.col("w") == 5, F.concat(F.lit('nhớ ghi "'), "note", F.lit('"'))).when(F.col("w") == 6, F.col("addr")).otherwise("-none-")
     place = F.when(F.col("w") == 1, "xanh").when(F.col("w") == 2, "nhà xanh").when(F.col("w") == 8, "số 5 [PHONE] Q1").when(F.col("w") == 6, "-none-").otherwise(F.col("addr"))
     found = spans.label_units(F.col("masked"), known_entities(F.col("masked"), {"PER": F.col("name"), "ADDR": place, "NOTE": quote}))

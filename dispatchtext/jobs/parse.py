@@ -74,8 +74,8 @@ def located(rows: DataFrame, *keep: str) -> DataFrame:
         sanitized = phones.unmask_position(pos, F.col("candidates"), F.length("sanitized"), F.length("masked"))
         return tx.to_raw(sanitized, steps, F.length("sanitized"))
 
-    found = spans.candidates(F.col("pieces"), F.col("raw"), back, F.col("masks"), F.col("blocks"))
-    rows = rows.select("*", *[c.alias(n) for n, c in found.items()])
+    rows = rows.withColumn("placed", spans.placed(F.col("pieces"), F.col("raw"), back, F.col("masks"), F.col("blocks")))
+    rows = rows.select("*", *[c.alias(n) for n, c in spans.by_type(F.col("placed"), F.col("raw")).items()])
     return rows.withColumn("notes", spans.drop_notes_on_addresses(F.col("note"), F.col("addr")))
 
 

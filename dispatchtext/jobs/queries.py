@@ -216,13 +216,17 @@ _GOLD, _PRED = _LAB.format(_GOLD_AT), _LAB.format(_PRED_AT)
 TOKENS = f"(select k as example_id, i as tok_idx, {_GOLD} as gold, {_PRED} as pred from (select o_orderkey as k, unnest(generate_series(1, 5 + o_orderkey % 7)) as i from orders) u)"
 
 
+#: Examples (of 8 tokens on average) that one task holds.
+TASK_EXAMPLES = 50_000
+
+
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """example_id, tok_idx, start, end, gold, pred: label sequences from arithmetic on order keys."""
     def label(at: str) -> Column:
         return F.element_at(F.array(*map(F.lit, spans.LABELS)), F.expr(f"cast({at} % {len(spans.LABELS)} as int)") + 1)
 
-    # Keys are dealt out first: a small file is one split.
-    keys = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).repartition(spark.sparkContext.defaultParallelism)
+    # Keys are dealt out first: a small file is one split. The tokens of an example stay in its task, so windows over examples move none.
+    keys = msg.dealt_keys(spark, sf_dir, TASK_EXAMPLES, "o_orderkey").select(F.col("o_orderkey").alias("k"))
     rows = keys.select("k", F.explode(F.sequence(F.lit(1).cast("long"), 5 + F.col("k") % 7)).alias("i"))
     return rows.select(F.col("k").alias("example_id"), F.col("i").alias("tok_idx"), (4 * F.col("i")).alias("start"), (4 * F.col("i") + 3).alias("end"), label(_GOLD_AT).alias("gold"), label(_PRED_AT).alias("pred"))
 
@@ -236,7 +240,7 @@ def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         gold, pred = (F.element_at(names, (x % len(spans.LABELS) + 1).cast("int")) for x in (at, at + F.when((k + i) % 5 == 0, 1).otherwise(0)))
         return F.struct(i.alias("tok_idx"), gold.alias("gold"), pred.alias("pred"))
 
-    keys = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("example_id")).repartition(spark.sparkContext.defaultParallelism)
+    keys = msg.dealt_keys(spark, sf_dir, TASK_EXAMPLES).select(F.col("o_orderkey").alias("example_id"))
     return keys.select("example_id", F.transform(F.sequence(F.lit(1).cast("long"), 5 + k % 7), token).alias("tokens"))
 
 

@@ -189,6 +189,7 @@ def st1_stream_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
         known = known_entities(F.col("masked"), {"PER": F.col("name"), "ADDR": F.col("addr"), "NOTE": F.col("note")})
         return rows.withColumn("tokens", spans.label_units(F.col("masked"), known))
 
-    stream = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 4).parquet(source)
+    together = 4 * spark.sparkContext.defaultParallelism  # a batch of a few files would leave cores idle
+    stream = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", together).parquet(source)
     parse_stream(stream, label, out, state).awaitTermination()
     return read_parsed(spark, out).select("message_id", "kind", "error_code")

@@ -281,6 +281,34 @@ def test_scorer_batches_by_length_and_cuts(spark):
     assert [r["tokens"][0]["token"] for r in got[:6]] == ["4", "2", "4", "4", "2", "4"]  # four short ones together, then two long ones
 
 
+def test_scorer_holds_few_tokens_at_a_time(spark):
+    """Ten megabytes of text in one Arrow batch: the tokens of about one megabyte are held together, and no row is lost."""
+    def load():
+        held = []
+
+        def score(texts):
+            held.append(sum(map(len, texts)))
+            return [[{"start": 0, "end": 1, "token": str(len(held)), "label": "O"}] for _ in texts]
+
+        return score
+
+    rows = spark.range(0, 1000, 1, 1).select("id", F.expr("if(id % 10 > 0, repeat('ab ', 3500), null)").alias("masked"))
+    got = score_tokens(rows, load, batch=10_000).collect()
+    calls = {r["tokens"][0]["token"] for r in got if r["tokens"]}
+    assert sorted(r["id"] for r in got) == list(range(1000)) and sum(bool(r["tokens"]) for r in got) == 900 and len(calls) >= 9
+
+
+def test_tasks_grow_with_the_table(spark, monkeypatch):
+    """Messages and tokens are dealt out by count, and windows over examples shuffle no tokens."""
+    from dispatchtext.jobs import queries
+
+    monkeypatch.setattr(msg, "TASK_MESSAGES", 100)
+    monkeypatch.setattr(queries, "TASK_EXAMPLES", 100)
+    assert msg.messages(spark, SF).rdd.getNumPartitions() == queries.tokens(spark, SF).rdd.getNumPartitions() == 15
+    plan = queries.n8_assemble(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 def test_malformed_lines(spark, tmp_path):
     lines = ["\ufeff" + json.dumps({"id": "1", "text": "a"}), "", json.dumps({"id": "2", "text": "b", "entities": [{"start": 0, "end": 1, "label": "PER"}]}), '{"id":"3"', "[1]", json.dumps({"id": "4"}) + " x"]
     (tmp_path / "x.jsonl").write_text("\n".join(lines), encoding="utf-8")
