@@ -27,8 +27,11 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays: the one with the smallest doc_id."""
-    return near_text.deduplicate(docs)
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays: the one with the smallest doc_id.
+
+    Links are those of the SimHash operator's covering masks, and those of min-hash bands for the pairs that fingerprints miss.
+    """
+    return near_text.deduplicate(docs, fingerprints=True)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import materialize, slices, tidy
 from .components import components
 from .words import hashed_words
@@ -164,30 +165,47 @@ def close_links(distinct: DataFrame, similarity: float = SIMILARITY, max_bucket:
 
 
 def groups(sigs: DataFrame, similarity: float = SIMILARITY, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """sketch, sig, first_id (least doc_id) and comp (its group) of every distinct signature."""
-    distinct = sigs.groupBy("sketch", "sig").agg(F.min("doc_id").alias("first_id"), F.min("bands").alias("bands"))
+    """sketch, sig, first_id (least doc_id) and comp (its group) of every distinct signature.
+
+    Where sigs hold SimHash fingerprints (fp0, fp1), they belong to the signature, and close fingerprints are links too.
+    """
+    keys = _keys(sigs)
+    distinct = sigs.groupBy(*keys).agg(F.min("doc_id").alias("first_id"), F.min("bands").alias("bands"))
     distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "near-distinct")  # written, so ids stay
-    linked = components(close_links(distinct, similarity, max_bucket)).withColumnRenamed("node", "linked")
+    links = close_links(distinct, similarity, max_bucket)
+    if "fp0" in keys:
+        links = links.unionByName(simhash.close_links(distinct.select("node", "fp0", "fp1"), simhash.RADIUS, simhash.NEAR_LIMIT))
+    linked = components(links).withColumnRenamed("node", "linked")
     joined = distinct.join(linked, distinct.node == linked.linked, "left")
-    return materialize(joined.select("sketch", "sig", "first_id", F.coalesce("component", "node").alias("comp")), "near-groups")
+    return materialize(joined.select(*keys, "first_id", F.coalesce("component", "node").alias("comp")), "near-groups")
+
+
+def _keys(sigs: DataFrame) -> list[str]:
+    return [c for c in ("sketch", "sig", "fp0", "fp1") if c in sigs.columns]
 
 
-def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, max_bucket: int = MAX_BUCKET) -> DataFrame:
+def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, max_bucket: int = MAX_BUCKET, fingerprints: bool = False) -> DataFrame:
     """The rows of docs (all columns) that stay: of each group of near-duplicates the one with the smallest doc_id.
 
     Null and wordless texts are one group. A null doc_id loses against any other; of rows equal in doc_id and text one
-    stays. An empty table stays empty; columns of any other name pass through.
+    stays. An empty table stays empty; columns of any other name pass through. fingerprints: texts whose SimHash fingerprints
+    (128 bits over the same shingles) differ in simhash.NEAR_LIMIT bits at most, and in RADIUS of either 64, are linked too.
     """
-    sigs = materialize(signatures(docs), "near-signatures")
+    sigs = signatures(docs)
+    if fingerprints:  # made apart, met by row
+        marks = simhash.fingerprints(docs, WORDS, wide=True).select("row", "fp0", "fp1").dropDuplicates(["row"])
+        sigs = sigs.join(marks, "row")
+    sigs = materialize(sigs, "near-signatures")
+    keys = _keys(sigs)
     found = groups(sigs.drop("row"), similarity, max_bucket)
-    best = found.groupBy("comp").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "sketch", "sig")).alias("best"))
-    winners = best.select("best.first_id", "best.sketch", "best.sig")
+    best = found.groupBy("comp").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", *keys)).alias("best"))
+    winners = best.select("best.first_id", *[f"best.{c}" for c in keys])
     # The winner's rows: of the same id and signature, the least row hash.
-    named = sigs.select("doc_id", "row", "sketch", "sig").join(winners, ["sketch", "sig"]).filter(F.col("doc_id").eqNullSafe(F.col("first_id")))
-    named = named.groupBy("sketch", "sig").agg(F.min("row").alias("_row"), F.first("doc_id", True).alias("_id"))
-    keys = [F.col("_row"), F.coalesce("_id", F.lit(0)).alias("_key"), F.col("_id").isNull().alias("_none")]
+    named = sigs.select("doc_id", "row", *keys).join(winners, keys).filter(F.col("doc_id").eqNullSafe(F.col("first_id")))
+    named = named.groupBy(*keys).agg(F.min("row").alias("_row"), F.first("doc_id", True).alias("_id"))
+    own_keys = [F.col("_row"), F.coalesce("_id", F.lit(0)).alias("_key"), F.col("_id").isNull().alias("_none")]
     own = F.col("doc_id").cast("long")
     marked = docs.select(F.struct("*").alias("doc"), F.xxhash64("doc_id", "text").alias("_row"), F.coalesce(own, F.lit(0)).alias("_key"), own.isNull().alias("_none"))
     # Join and removal of equal rows share one exchange of the texts.
-    kept = marked.join(named.select(*keys).hint("shuffle_merge"), ["_row", "_key", "_none"], "left_semi")
+    kept = marked.join(named.select(*own_keys).hint("shuffle_merge"), ["_row", "_key", "_none"], "left_semi")
     return kept.dropDuplicates(["_row", "_key", "_none"]).select("doc.*")

@@ -64,3 +64,16 @@ def test_near_duplicate_stage_takes_five_words(spark):
     far = [w for i, w in enumerate(words) if i % 4]
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, " ".join(words))], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()) == [1, 3]
+
+
+def test_near_duplicate_stage_links_by_fingerprints(spark, monkeypatch):
+    """With min-hash links taken away, the SimHash operator's links alone still find a near copy, and both meet in one group."""
+    from dispatchtext.llm import near_text, simhash
+
+    words = [f"w{i % 97}x{i}" for i in range(4000)]
+    near = [*words[:2000], "changed", *words[2001:]]
+    docs = spark.createDataFrame([(5, " ".join(words)), (3, " ".join(near)), (7, "quite another text of some words"), (8, None)], "doc_id long, text string")
+    a, b = (simhash.fingerprint(" ".join(x), near_text.WORDS, True) for x in (words, near))
+    assert any((x ^ y).bit_count() <= simhash.RADIUS for x, y in zip(a, b))
+    monkeypatch.setattr(near_text, "close_links", lambda *_: spark.createDataFrame([], "src long, dst long"))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()) == [3, 7, 8]
