@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and hand cases on small fixtures."""
 
 import hashlib
+import itertools
 import os
 import random
 import time
@@ -8,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -189,6 +191,27 @@ def test_special_tokens_get_the_library_ids(name, fold):
         assert ids[a:b].tolist() == untouched.encode(t or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name,fold", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_pieces_at_every_meeting_of_kinds(name, fold):
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    parts = ["'s", "'LL", "'", "a", "Re", "ß", "É", "×", "İ", "ǅ", "1", "23", "!", " ", "\n", "\u00a0", "\u3000", "’", "日", "\u0307", "\x1c", "\x00", "<|endoftext|>"]
+    texts = ["".join(p) for p in itertools.product(parts, repeat=3)]
+    texts += [f"ab {a}{b} cd{a} {b}" for a in parts for b in parts]
+    want = [e.ids for e in plain.encode_batch_fast(texts, add_special_tokens=False)]
+    own = coder(public_tokenizers.path(name), fold)
+    ids, n = own.encode_array(pa.array(["cut off", *texts, "cut off"])[1:-1])
+    ends = np.cumsum(n)
+    assert [ids[a:b].tolist() for a, b in zip(ends - n, ends)] == want
+
+
+@pytest.mark.parametrize("name,fold", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_words_are_encoded_once_whatever_stands_beside_them(name, fold):
+    coder = Coder(public_tokenizers.path(name), fold)
+    words, ends = [a + b for a in "abcdeé" for b in "vwxyzñ"], [a + b for a in ".,;!" for b in ["", "\n", "?", "*", "%"]]
+    coder.encode_many([" ".join(w + e for w in words for e in ends)])
+    assert len(coder.units) <= 2 * len(words) + 2 * len(ends)  # not one unit for each word and end
+
+
 def test_token_store_matches_special_tokens(spark, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     store = token_store.write_store(spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "c")], "doc_id long, text string"), str(tmp_path / "store"), path)
